@@ -31,35 +31,34 @@ def uniform(ids: np.ndarray, seed: int) -> np.ndarray:
 def pivot(size: np.ndarray, frac: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Make all but one of the fractions 0 or 1, keeping their expectations and the sum of size * fraction.
 
-    Two fractional rows meet; words move from one to the other until one of
-    them is 0 or 1, in a direction drawn so that neither expectation changes.
-    The other one meets the next row.
+    Rows come from the largest to the smallest. Each is paired with the pool
+    of all rows after it: words move between the two until the row is 0 or 1,
+    or the pool is empty or full, in a direction drawn so that no expectation
+    changes. Giving scales all fractions of the pool, taking scales what they
+    lack of 1, so one affine map says how the pool stands. The row that stays
+    fractional is thus among the smallest.
     """
-    x, carried = frac.tolist(), -1
-    a, u = size.tolist(), u.tolist()
-    for i in range(len(x)):
-        if not 0.0 < x[i] < 1.0:
-            continue
-        if carried < 0:
-            carried = i
-            continue
-        c = carried
-        up = min(a[c] * (1 - x[c]), a[i] * x[i])
-        down = min(a[c] * x[c], a[i] * (1 - x[i]))
-        if u[i] * (up + down) < down:
-            if up == a[i] * x[i]:
-                x[c], x[i] = x[c] + up / a[c], 0.0
-            else:
-                x[c], x[i] = 1.0, x[i] - up / a[i]
-        elif down == a[c] * x[c]:
-            x[c], x[i] = 0.0, x[i] + down / a[i]
-        else:
-            x[c], x[i] = x[c] - down / a[c], 1.0
-        for k in (c, i):
-            if x[k] < 1e-12 or x[k] > 1 - 1e-12:
-                x[k] = float(round(x[k]))
-        carried = next((k for k in (c, i) if 0.0 < x[k] < 1.0), -1)
-    return np.array(x)
+    out = frac.astype(float).copy()
+    rows = np.flatnonzero((frac > 0) & (frac < 1) & (size > 0))
+    a, x0 = size[rows].astype(float), out[rows]
+    mass = np.append(np.cumsum(a[::-1])[::-1][1:], 0.0)
+    held = np.append(np.cumsum((a * x0)[::-1])[::-1][1:], 0.0)
+    shift, scale = 0.0, 1.0
+    for k in range(len(rows)):
+        x = shift + scale * x0[k]
+        pool = min(max(shift * mass[k] + scale * held[k], 0.0), mass[k])
+        lack, need, give = mass[k] - pool, a[k] * (1 - x), a[k] * x
+        up, down = min(need, pool), min(give, lack)
+        if up + down > 0 and u[rows[k]] * (up + down) < down:
+            x = 1.0 if up == need else x + up / a[k]
+            left = 1 - up / pool
+            shift, scale = shift * left, scale * left
+        elif up + down > 0:
+            x = 0.0 if down == give else x - down / a[k]
+            left = 1 - down / lack
+            shift, scale = 1 - left * (1 - shift), scale * left
+        out[rows[k]] = float(round(x)) if min(x, 1 - x) < 1e-9 else x
+    return out
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: int, scratch: Scratch) -> DataFrame:

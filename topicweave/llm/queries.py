@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing
+from . import exact_dedup, language_id, license_scan, mixing, packing, quality_rules, sharding, url_filters
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", url_filters.fetched(F.col("page_id")).alias("day"))
+    hosts = captures.select(url_filters.host(F.col("url")).alias("host")).filter("host is not null").distinct()
+    return url_filters.filter_captures(captures, url_filters.dated_entries(hosts))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -23,10 +38,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op7_exact_dedup, op8_packing, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_sharding, op3_language_id, op4_quality_rules, op5_url_filters, op7_exact_dedup, op8_packing, op9_license_scan, op10_mixing)
+}
 
-ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL = {
+    "op4_quality_rules": quality_rules.SQL,
+    "op5_url_filters": url_filters.SQL,
+    "op7_exact_dedup": exact_dedup.SQL,
+    "op9_license_scan": license_scan.SQL,
+}
