@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, mixing, packing, quality_rules, sharding, url_filters
+from . import exact_dedup, language_id, license_scan, mixing, near_dedup, packing, quality_rules, sharding, url_filters
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_sharding, op3_language_id, op4_quality_rules, op5_url_filters, op7_exact_dedup, op8_packing, op9_license_scan, op10_mixing)
+    for f in (op1_near_dedup, op2_sharding, op3_language_id, op4_quality_rules, op5_url_filters, op7_exact_dedup, op8_packing, op9_license_scan, op10_mixing)
 }
 
 ORACLE_SQL = {
