@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, mixing, near_dedup, packing, quality_rules, sharding, url_filters
+from . import exact_dedup, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, quality_rules, sharding, url_filters
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_captures(captures, url_filters.dated_entries(hosts))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_sharding, op3_language_id, op4_quality_rules, op5_url_filters, op7_exact_dedup, op8_packing, op9_license_scan, op10_mixing)
+    for f in (op1_near_dedup, op2_sharding, op3_language_id, op4_quality_rules, op5_url_filters, op6_lm_scoring, op7_exact_dedup, op8_packing, op9_license_scan, op10_mixing)
 }
 
 ORACLE_SQL = {
