@@ -14,7 +14,7 @@ from .words import word_count
 #: Weights that the sources take in turn; how often a text may be repeated; rows of a leaf and children of a node of the reduction tree.
 WEIGHTS = (1, 2, 3)
 CAP = 3
-LEAF_ROWS = 20_000
+LEAF_ROWS = 2_000
 FAN_IN = 64
 
 STATE = "doc_id long, source string, size long, source_size long, target double, copies long, frac double, leaf long, width long, done boolean"
