@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,21 +15,39 @@ from pyspark.sql import DataFrame
 WINDOW = 1024
 #: Fixed value: the id that ends a document.
 END = 0
-#: Segments kept by a worker with their ids; the longest that is kept.
-MEMO, MEMO_CHARS = 600_000, 64
+#: Segments kept by a worker with their ids, of each kind; the longest that is kept.
+MEMO, MEMO_CHARS = 1_200_000, 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Memo(dict):
+    """The ids of what was met before; what is new is made by ``make`` and kept while there is room."""
+
+    def __init__(self, make, room: int):
+        super().__init__()
+        self.make, self.room = make, room
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.make(key)
+        if len(self) < self.room and len(key) <= MEMO_CHARS:
+            self[key] = out
+        return out
+
+
 class Encoder:
     """Ids of whole texts, from ids of segments that the tokenizer has met before.
 
-    The tokenizer's pattern never joins a space that stands before a
-    non-space with what precedes it, so a text may be cut there and each
-    segment encoded by itself. Segments repeat far more often than texts.
+    The tokenizer's pattern has a border before a space that stands before a
+    non-space, after letters that another class of characters but an
+    apostrophe follows, and after a line break between non-spaces. Texts are
+    cut at such places only, so parts may be encoded by themselves, and parts
+    repeat far more often than texts.
     """
 
     CUT = re.compile(r" (?=\S)")
+    CORE = re.compile(r"([^\W\d_]+)(?=[.,;:!?])")
+    LINE = re.compile(r"(?<=[.,;:!?]\n)(?=[^\W\d_])")
     _known: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -36,8 +55,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.rest = Memo(self._ids, MEMO)
+        self.first = Memo(self._first, MEMO)
+        self.later = Memo(self._later, MEMO)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -45,39 +65,29 @@ class Encoder:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def _learn(self, memo: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
-        """What ``memo`` lacks of ``wanted``; it is kept while there is room."""
-        new = [w for w in wanted if w not in memo]
-        found = {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([lead + w for w in part], add_special_tokens=False), strict=True):
-                found[w] = np.asarray(e.ids, "<u4").tobytes()
-        if len(memo) < MEMO:
-            memo.update((w, b) for w, b in found.items() if len(w) <= MEMO_CHARS)
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, with END after them."""
-        cut = [self.CUT.split(t) for t in texts]
-        more_first = self._learn(self.first, {c[0] for c in cut}, "")
-        more_later = self._learn(self.later, set().union(*(c[1:] for c in cut)), " ")
-        first, later = self.first, self.later
-        if not more_later.keys() <= later.keys():
-            later = _Both(later, more_later)
-        end = np.array([END], "<u4").tobytes()
-        return [(first.get(c[0]) or more_first.get(c[0], b"")) + b"".join(map(later.__getitem__, c[1:])) + end for c in cut]
-
-
-class _Both(dict):
-    """Looks into the first dictionary for what the second, its own, lacks."""
-
-    def __init__(self, known: dict, more: dict):
-        super().__init__(more)
-        self.known = known
-
-    def __missing__(self, key):
-        return self.known[key]
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _later(self, segment: str) -> bytes:
+        """Of a segment after a space."""
+        if segment.isalpha():
+            return self._ids(" " + segment)
+        head, *lines = self.LINE.split(segment)
+        core = self.CORE.match(head)
+        out = self.later[core[0]] + self.rest[head[core.end() :]] if core else self._ids(" " + head)
+        return out + b"".join(map(self._first, lines))
+
+    def _first(self, segment: str) -> bytes:
+        """Of a segment at the start of a text or line."""
+        return b"".join(map(self.rest.__getitem__, self.LINE.split(segment)))
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text, with END after them."""
+        first, *later = self.CUT.split(text)
+        return b"".join([self.first[first], *map(self.later.__getitem__, later), ENDED])
+
+
+ENDED = array("I", [END]).tobytes()
 
 
 class SumOfSquares:
@@ -163,15 +173,8 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
     def ids(parts: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         encoder = Encoder.of(tokenizer_path)
         for part in parts:
-            docs, texts = part["doc_id"].astype(object).where(part["doc_id"].notna(), None).tolist(), part["text"].fillna("").tolist()
-            k = 0
-            while k < len(texts):
-                n, chars = k, 0
-                while n < len(texts) and (n == k or chars + len(texts[n]) <= 1_000_000):
-                    chars += len(texts[n])
-                    n += 1
-                yield from zip(docs[k:n], encoder.encode(texts[k:n]), strict=True)
-                k = n
+            docs = part["doc_id"].astype(object).where(part["doc_id"].notna(), None)
+            yield from zip(docs, map(encoder.encode, part["text"].fillna("")), strict=True)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
