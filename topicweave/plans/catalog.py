@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import counts, dynamic, inference, likelihood, pmi, reports, selection
+from ..operators import counts, dynamic, inference, likelihood, pmi, reports, sampler, selection
 from ..sources.corpus import tokens_of_text
-from .workspace import ALPHA, BETA, EPOCHS, MODEL_WORDS, SEED, TOPICS, Workspace, hashed
+from .config import ModelConfig, Prior
+from .hashing import hashed
+from .workspace import ALPHA, BETA, EPOCHS, MODEL_WORDS, SEED, TOPICS, Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -878,3 +880,64 @@ def basket_pairs(w):
     b = w.read("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("word_id")).distinct()
     often = b.groupBy("word_id").agg(F.count("*").alias("n")).filter("n >= 30")
     return counts.cooccurrence(b, often).filter("w1 > w2").select(F.col("w2").alias("w1"), F.col("w1").alias("w2"), F.col("docs").alias("c"))
+
+
+# Sampling: seeded and not SQL-expressible; tests compare them with planted topics
+
+
+def modelled(w: Workspace) -> DataFrame:
+    return w.tokens.filter(F.col("word_id") < MODEL_WORDS)
+
+
+def sizes(state: sampler.State) -> DataFrame:
+    return state.tokens.groupBy("epoch", "topic").agg(F.count("*").alias("tokens"), F.count_distinct("doc_id").alias("docs"))
+
+
+LDA = ModelConfig(topics=TOPICS, cycles=4, alpha=Prior("dir"), beta=Prior("dir"))
+
+
+@query()
+def gibbs_lda(w):
+    return sizes(sampler.fit(modelled(w), LDA))
+
+
+@query()
+def gibbs_hdp(w):
+    return sizes(sampler.fit(modelled(w), ModelConfig(topics=TOPICS, cycles=4, alpha=Prior("hdp"))))
+
+
+@query()
+def gibbs_pdp(w):
+    return sizes(sampler.fit(modelled(w), ModelConfig(topics=TOPICS, cycles=2, alpha=Prior("hpdd", a=0.3, a0=0.2))))
+
+
+@query()
+def gibbs_burst(w):
+    return sizes(sampler.fit(modelled(w), ModelConfig(topics=TOPICS, cycles=2, burst_a=0.2, burst_b=100.0)))
+
+
+@query()
+def gibbs_ng_ibp(w):
+    return sizes(sampler.fit(modelled(w), ModelConfig(topics=TOPICS, cycles=3, alpha=Prior("ng", weight=0.2), sparse=(1.0, 1.0))))
+
+
+@query()
+def gibbs_epoch(w):
+    epochs = w.read("documents").select("doc_id", w.epoch(F.col("doc_id")).alias("epoch"))
+    return sizes(sampler.fit(modelled(w), ModelConfig(topics=TOPICS, cycles=2, alpha=Prior("hdp"), epochs=EPOCHS), epochs))
+
+
+@query()
+def hyper_trace(w):
+    rows = []
+    config = ModelConfig(topics=TOPICS, cycles=4, alpha=Prior("dir"), beta=Prior("dir"), sample=("alpha", "beta"), sample_start=2, sample_every=1)
+    sampler.fit(modelled(w), config, trace=lambda s: rows.append((s.cycle, float(s.config.alpha.weight), float(s.config.beta.weight))))
+    return w.spark.createDataFrame(rows, "cycle int, alpha double, beta double")
+
+
+@query()
+def heldout_perplexity(w):
+    test = selection.hold_doc(modelled(w).filter(F.col("doc_id") % 10 == 0), 4)
+    state = sampler.fit(modelled(w).filter(F.col("doc_id") % 10 != 0), LDA)
+    value, n = sampler.log2_perplexity(state, test, burn=2, sweeps=2)
+    return w.spark.createDataFrame([(value, n)], "log2_perplexity double, tokens long")

@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 from ..operators import counts
 from ..sources.corpus import encode, tokens_of_text, vocabulary
 from .durable import Scratch
+from .hashing import hashed
 
 #: Number of topics, words of the modelled vocabulary, Dirichlet priors, and the seed of topics drawn by hash.
 TOPICS, MODEL_WORDS, ALPHA, BETA, SEED = 10, 2000, 0.1, 0.01, 7
 EPOCHS = 4
 
 
-def hashed(*parts: Column | str) -> Column:
-    """A whole number below 2**32 drawn by the given values."""
-    text = F.concat_ws(":", *(p if isinstance(p, Column) else F.lit(p) for p in parts))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
-
-
 class Workspace:
     """Tables of one input directory; each is written when first asked for and then read back."""
 
