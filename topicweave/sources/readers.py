@@ -27,7 +27,7 @@ def read_ldac(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``n w:c w:c ...``, words from 0."""
     entries = lines(spark, path).select(F.col("line").alias("doc_id"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(\d+):(\d+)"), F.lit(0))).alias("at", "e"))
     part = F.split("e", ":")
-    return unrolled(entries.select("doc_id", "at", part[0].cast("long").alias("word_id"), part[1].cast("long").alias("c")))
+    return unrolled(entries.select("doc_id", "at", F.get(part, F.lit(0)).cast("long").alias("word_id"), F.get(part, F.lit(1)).cast("long").alias("c")))
 
 
 def read_witdit(spark: SparkSession, words: str, docs: str) -> DataFrame:
@@ -41,7 +41,7 @@ def read_witdit(spark: SparkSession, words: str, docs: str) -> DataFrame:
 def read_docword(spark: SparkSession, path: str) -> DataFrame:
     """Three header lines (documents, words, entries), then ``d w c``, both from 1."""
     n = numbers(F.col("value"))
-    rows = lines(spark, path).filter("line >= 3").select((n[0] - 1).alias("doc_id"), F.col("line").alias("at"), (n[1] - 1).alias("word_id"), n[2].alias("c"))
+    rows = lines(spark, path).filter("line >= 3").select((F.get(n, F.lit(0)) - 1).alias("doc_id"), F.col("line").alias("at"), (F.get(n, F.lit(1)) - 1).alias("word_id"), F.get(n, F.lit(2)).alias("c"))
     return unrolled(rows)
 
 
@@ -55,9 +55,9 @@ def read_bag(spark: SparkSession, path: str) -> DataFrame:
     n = numbers(F.col("value"))
     rows = lines(spark, path).filter("line >= 2").select((F.col("line") - 2).alias("doc_id"), n.alias("n"))
     rows = rows.filter("size(n) > 2").select("doc_id", "n", F.posexplode(F.expr("sequence(1, size(n) - 2, 2)")).alias("at", "k"))
-    w = F.col("n")[F.col("k")]
+    w = F.get("n", F.col("k"))
     checked = F.when(w < words, w).otherwise(F.raise_error(F.lit("a word id is beyond the header's number of words")).cast("long"))
-    return unrolled(rows.select("doc_id", "at", checked.alias("word_id"), F.col("n")[F.col("k") + 1].alias("c")))
+    return unrolled(rows.select("doc_id", "at", checked.alias("word_id"), F.get("n", F.col("k") + 1).alias("c")))
 
 
 def read_lst(spark: SparkSession, path: str) -> DataFrame:
@@ -88,7 +88,7 @@ def read_vocab(spark: SparkSession, path: str, first: int = 0, end: int | None =
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """word_id, tag, hash, cnt, df, word of lines ``idx tag hash cnt df word``."""
     p = F.split(F.trim("value"), r"\s+", 6)
-    return lines(spark, path).select(p[0].cast("long").alias("word_id"), p[1].alias("tag"), p[2].alias("hash"), p[3].cast("long").alias("cnt"), p[4].cast("long").alias("df"), p[5].alias("word"))
+    return lines(spark, path).select(F.get(p, F.lit(0)).cast("long").alias("word_id"), F.get(p, F.lit(1)).alias("tag"), F.get(p, F.lit(2)).alias("hash"), F.get(p, F.lit(3)).cast("long").alias("cnt"), F.get(p, F.lit(4)).cast("long").alias("df"), F.get(p, F.lit(5)).alias("word"))
 
 
 def read_df(spark: SparkSession, stem: str, tokens: DataFrame, docs: int) -> tuple[DataFrame, int]:
@@ -125,7 +125,7 @@ def read_params(spark: SparkSession, path: str) -> dict[str, str]:
 def read_assignments(spark: SparkSession, path: str, tokens: DataFrame, topics: int) -> DataFrame:
     """tokens with topic and r of a file with ``t`` or ``t,r`` for each token in order."""
     p = F.split(F.trim("value"), ",")
-    z = lines(spark, path).select("line", p[0].cast("long").alias("topic"), F.coalesce(F.get(p, F.lit(1)).cast("int") == 1, F.lit(True)).alias("r"))
+    z = lines(spark, path).select("line", F.get(p, F.lit(0)).cast("long").alias("topic"), F.coalesce(F.get(p, F.lit(1)).cast("int") == 1, F.lit(True)).alias("r"))
     lengths = tokens.groupBy("doc_id").agg(F.count("*").alias("len"))
     placed = tokens.join(cumulative_lengths(lengths), "doc_id").withColumn("line", F.col("start") + F.col("pos"))
     checked = F.when((F.col("topic") >= 0) & (F.col("topic") < topics), F.col("topic")).otherwise(F.raise_error(F.lit("a topic is out of range")).cast("long"))
@@ -135,7 +135,7 @@ def read_assignments(spark: SparkSession, path: str, tokens: DataFrame, topics:
 def read_sparse(spark: SparkSession, path: str, values: str = "long", head: int = 3) -> DataFrame:
     """i, j, v of lines ``i j v`` after the header (rows, columns, entries)."""
     p = F.split(F.trim("value"), r"\s+")
-    return lines(spark, path).filter(F.col("line") >= head).filter(F.size(p) >= 3).select(p[0].cast("long").alias("i"), p[1].cast("long").alias("j"), p[2].cast(values).alias("v"))
+    return lines(spark, path).filter(F.col("line") >= head).filter(F.size(p) >= 3).select(F.get(p, F.lit(0)).cast("long").alias("i"), F.get(p, F.lit(1)).cast("long").alias("j"), F.get(p, F.lit(2)).cast(values).alias("v"))
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
@@ -165,7 +165,7 @@ def read_probs(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, topic, p of lines ``d: [class] k:p k:p ...``."""
     e = lines(spark, path).select(F.regexp_extract("value", r"^\s*(\d+):", 1).cast("long").alias("doc_id"), F.explode(F.regexp_extract_all(F.regexp_replace("value", r"^\s*\d+:", ""), F.lit(r"(\d+):([0-9.eE+\-]+)"), F.lit(0))).alias("e"))
     p = F.split("e", ":")
-    return e.select("doc_id", p[0].cast("long").alias("topic"), p[1].cast("double").alias("p"))
+    return e.select("doc_id", F.get(p, F.lit(0)).cast("long").alias("topic"), F.get(p, F.lit(1)).cast("double").alias("p"))
 
 
 def read_epoch_phi(spark: SparkSession, stem: str, epochs: int) -> DataFrame:
@@ -180,7 +180,7 @@ def read_epoch_phi(spark: SparkSession, stem: str, epochs: int) -> DataFrame:
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """qid, word_id of lines ``n w1 w2 ...``; a word repeated in one query counts once."""
     n = numbers(F.col("value"))
-    return lines(spark, path).select(F.col("line").alias("qid"), n.alias("n")).filter("size(n) > 1").select("qid", F.explode(F.expr("slice(n, 2, n[0])")).alias("word_id")).distinct()
+    return lines(spark, path).select(F.col("line").alias("qid"), n.alias("n")).filter("size(n) > 1").select("qid", F.explode(F.expr("slice(n, 2, get(n, 0))")).alias("word_id")).distinct()
 
 
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:
@@ -191,7 +191,7 @@ def read_spans(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
     """doc_id, pos, len, term_id of lines ``n (pos len term)*``; terms from ``least`` on."""
     n = numbers(F.col("value"))
     rows = lines(spark, path).select(F.col("line").alias("doc_id"), n.alias("n")).filter("size(n) > 3").select("doc_id", "n", F.explode(F.expr("sequence(1, size(n) - 3, 3)")).alias("k"))
-    at = lambda j: F.col("n")[F.col("k") + j]
+    at = lambda j: F.get("n", F.col("k") + j)
     return rows.select("doc_id", at(0).cast("int").alias("pos"), at(1).cast("int").alias("len"), at(2).alias("term_id")).filter(F.col("term_id") >= least)
 
 
@@ -212,6 +212,6 @@ def read_log_probs(spark: SparkSession, path: str, words: int) -> DataFrame:
 def read_foreign_state(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, pos, word_id, topic of a table ``d w z t`` with a header line, as hierarchical samplers of other tools write it."""
     n = numbers(F.col("value"))
-    rows = lines(spark, path).filter("line >= 1").select("line", n[0].alias("doc_id"), n[1].alias("word_id"), n[2].alias("topic"))
+    rows = lines(spark, path).filter("line >= 1").select("line", F.get(n, F.lit(0)).alias("doc_id"), F.get(n, F.lit(1)).alias("word_id"), F.get(n, F.lit(2)).alias("topic"))
     return rows.withColumn("pos", F.row_number().over(W.Window.partitionBy("doc_id").orderBy("line")) - 1).select("doc_id", "pos", "word_id", "topic")
 
