@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,16 +14,19 @@ from pyspark.sql import functions as F
 from ..plans.durable import Scratch, shuffle_width
 from .shingles import minima, set_digests, shingle_sets, slices
 
-#: Sorted orders; min-hashes of one, the longest prefix; the shortest prefix that makes neighbours.
-TREES, DEPTH, LEAST_PREFIX = 12, 8, 2
+#: Sorted orders; those of a first round; min-hashes of one, the longest prefix; the shortest prefix that makes neighbours.
+TREES, ROUND_TREES, DEPTH, LEAST_PREFIX = 12, 4, 8, 2
 #: Rows before each in an order with which it is compared. Where many share a prefix these share the longest one.
 NEIGHBOURS = 16
 #: Single bytes of min-hashes by which a pair is estimated; how many must agree. At a similarity of 0.75, 48 are expected, and 31 or fewer once in a million.
 SKETCH, AGREE = 64, 32
 #: Links hold at 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Ids that may be broadcast, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
-PAIRS = "kind int, a long, b long, agree int, place int, tree int, prefix binary, sketch binary"
+COLUMNS = ["kind", "a", "b", "agree", "place", "tree", "prefix", "rep", "label", "sketch"]
+PAIRS = "kind int, a long, b long, agree int, place int, tree int, prefix binary, rep long, label long, sketch binary"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -47,68 +51,64 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, digest binary, signature binary, sketch binary")
 
 
-def forest(reps: DataFrame) -> DataFrame:
-    """A row for each text and order: tree, prefix (the min-hashes by which it is sorted), rep, sketch."""
+def forest(reps: DataFrame, trees: range) -> DataFrame:
+    """A row for each text and order: tree, prefix (the min-hashes by which it is sorted), rep, label, sketch."""
     width = 4 * DEPTH
-    orders = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("signature"), t * width + 1, F.lit(width)).alias("prefix")))
-    return reps.select("rep", "sketch", F.explode(orders).alias("o")).select("o.tree", "o.prefix", "rep", "sketch")
+    orders = F.transform(F.sequence(F.lit(trees[0]), F.lit(trees[-1])), lambda t: F.struct(t.alias("tree"), F.substring(F.col("signature"), t * width + 1, F.lit(width)).alias("prefix")))
+    return reps.select("rep", "label", "sketch", F.explode(orders).alias("o")).select("o.tree", "o.prefix", "rep", "label", "sketch")
 
 
-def near(tree: np.ndarray, prefix: np.ndarray, rep: np.ndarray, sketch: np.ndarray, fresh: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (a, b, agreement) of sorted rows from ``fresh`` on with those before them."""
-    out, at = [], np.arange(max(fresh, 1), len(rep))
+def near(rows: pd.DataFrame, fresh: int, best: bool) -> pd.DataFrame:
+    """Pairs (a, b, agree) of sorted rows from ``fresh`` on with rows of other labels before them, all or for each row the most alike."""
+    tree, rep, label = (rows[c].to_numpy() for c in ("tree", "rep", "label"))
+    prefix = np.frombuffer(b"".join(rows["prefix"]), ">u4").reshape(len(rows), DEPTH)[:, :LEAST_PREFIX]
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), SKETCH)
+    found, at = [], np.arange(max(fresh, 1), len(rows))
     for d in range(1, NEIGHBOURS + 1):
         at = at[at >= d]
-        at = at[(tree[at] == tree[at - d]) & (prefix[at, :LEAST_PREFIX] == prefix[at - d, :LEAST_PREFIX]).all(axis=1)]
+        at = at[(tree[at] == tree[at - d]) & (prefix[at] == prefix[at - d]).all(axis=1)]
         if not len(at):
             break
-        agree = (sketch[at] == sketch[at - d]).sum(axis=1)
-        hit = agree >= AGREE
-        i, j = rep[at[hit]], rep[at[hit] - d]
-        out.append((np.minimum(i, j), np.maximum(i, j), agree[hit]))
-    return out
-
-
-def arrays(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    prefix = np.frombuffer(b"".join(part["prefix"]), ">u4").reshape(len(part), DEPTH)
-    return part["tree"].to_numpy(), prefix, part["rep"].to_numpy(), np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(part), SKETCH)
-
-
-def pair_frame(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    a, b, agree = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-    return pd.DataFrame({"kind": 0, "a": a, "b": b, "agree": agree, "place": 0, "tree": 0, "prefix": b"", "sketch": b""})
-
-
-def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b, agree: pairs of texts that are neighbours in some order and agree in enough bytes of their sketches.
-
-    The orders are sorted together in ranges. A range also returns its first
-    and last rows, by which the pairs across its bounds are found.
+        other = at[label[at] != label[at - d]]
+        agree = (sketch[other] == sketch[other - d]).sum(axis=1)
+        hit = other[agree >= AGREE]
+        found.append(pd.DataFrame({"row": hit, "a": np.minimum(rep[hit], rep[hit - d]), "b": np.maximum(rep[hit], rep[hit - d]), "agree": agree[agree >= AGREE]}))
+    out = pd.concat(found, ignore_index=True) if found else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("row", "a", "b", "agree")})
+    if best:
+        out = out.sort_values("agree", ascending=False, kind="stable").drop_duplicates("row")
+    return out.drop(columns="row")
+
+
+def candidates(reps: DataFrame, trees: range, best: bool, scratch: Scratch) -> DataFrame:
+    """a, b, agree: pairs of texts of unlike labels that are neighbours in some order and agree in enough bytes of their sketches.
+
+    The orders are sorted together in ranges, by all min-hashes of a prefix,
+    so that a region where many share the first ones is ordered by the next.
+    A range also returns its first and last rows, by which the pairs across
+    its bounds are found.
     """
     spark = reps.sparkSession
-    rows = reps.count() * TREES
-    ranges = max(1, min(shuffle_width(spark), rows // 2000))
+    ranges = max(1, min(shuffle_width(spark), reps.count() * len(trees) // 2000))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, tail, first = TaskContext.get().partitionId(), None, True
+        place, head, tail = TaskContext.get().partitionId(), None, None
 
         def bound(rows: pd.DataFrame, kind: int) -> pd.DataFrame:
-            return rows.assign(kind=kind, a=rows["rep"], b=0, agree=0, place=place)[["kind", "a", "b", "agree", "place", "tree", "prefix", "sketch"]]
+            return rows.assign(kind=kind, a=0, b=0, agree=0, place=place)[COLUMNS]
 
-        head = None
         for part in parts:
-            if head is None or len(head) < NEIGHBOURS:
-                head = pd.concat([head, part.head(NEIGHBOURS - (0 if head is None else len(head)))])
             fresh = 0 if tail is None else len(tail)
             both = part if tail is None else pd.concat([tail, part], ignore_index=True)
-            yield pair_frame(near(*arrays(both), fresh))
-            tail, first = both.tail(NEIGHBOURS), False
-        if not first:
+            head = both.head(NEIGHBOURS) if head is None or len(head) < NEIGHBOURS else head
+            yield near(both, fresh, best).assign(kind=0, place=0, tree=0, prefix=b"", rep=0, label=0, sketch=b"")[COLUMNS]
+            tail = both.tail(NEIGHBOURS)
+        if head is not None:
             yield bound(head, 1)
             yield bound(tail, 2)
 
-    ordered = forest(reps).repartitionByRange(ranges, "tree", "prefix", "rep").sortWithinPartitions("tree", "prefix", "rep")
-    found = scratch.keep(ordered.select("tree", "prefix", "rep", "sketch").mapInPandas(run, PAIRS))
+    order = ("tree", "prefix", "rep")
+    ordered = forest(reps, trees).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    found = scratch.keep(ordered.mapInPandas(run, PAIRS))
     pairs = found.filter("kind = 0").select("a", "b", "agree")
     places = sorted(r[0] for r in found.filter("kind = 1").select("place").distinct().collect())  # a number for each range
     if len(places) > 1:
@@ -117,14 +117,26 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
         edges = found.filter("kind > 0").join(F.broadcast(after), "place").withColumn("bound", F.col("number") + F.when(F.col("kind") == 2, 1).otherwise(0))
 
         def across(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values(["tree", "prefix", "a"], kind="stable").sort_values("kind", ascending=False, kind="stable")
-            fresh = int((part["kind"] == 2).sum())
-            if not fresh or fresh == len(part):
-                return pair_frame([])[["a", "b", "agree"]]
-            return pair_frame(near(*arrays(part.rename(columns={"a": "rep"}).reset_index(drop=True)), fresh))[["a", "b", "agree"]]
+            part = part.assign(late=part["kind"] == 1).sort_values(["late", *order], ignore_index=True)
+            fresh = int((~part["late"]).sum())
+            return near(part, fresh if fresh else len(part), best)
 
         pairs = pairs.unionByName(edges.groupBy("bound").applyInPandas(across, "a long, b long, agree int"))
-    return scratch.keep(pairs.filter("a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    return scratch.keep(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")))
+
+
+def most_alike(pairs: DataFrame) -> DataFrame:
+    """a, b: for each text the pair in which most agrees, of equal ones that with the smallest id."""
+    each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
+    best = each.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("c"))).alias("m")).select("a", (-F.col("m.c")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def texts_of(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """rep, text of the documents that ``pairs`` names."""
+    named = scratch.keep(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
+    named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    return scratch.keep(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(named, "rep", "left_semi"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -175,8 +187,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     as one where there are fewer. Documents are linked when their sets have
     a similarity of 0.75 or more; component_id is the smallest doc_id reachable.
     Equal sets (by a 128-bit digest of all their shingles) are one text from
-    the start. First every text's most alike candidate is confirmed on the full
-    sets, then every candidate that lies in another component. Null, empty and blank texts have no
+    the start. In rounds, each with some of the orders, every text's most
+    alike candidate in another component is confirmed on the full sets; then,
+    by all orders, every candidate in another component. Null, empty and blank texts have no
     shingles and are linked with nothing; rows with a null doc_id have a null
     component_id. Rows that share a doc_id are one document with several
     texts. An empty table gives no rows; columns besides doc_id and text are
@@ -186,19 +199,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table = scratch.keep(signatures(docs))
     alike = table.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signature", "sketch")).alias("r"))
     reps = scratch.keep(alike.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.signature").alias("signature"), F.col("r.sketch").alias("sketch")))
-    pairs = candidates(reps.select("rep", "signature", "sketch"), scratch)
-    named = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(named, "rep", "left_semi"))
-    each = pairs.select("a", "b", "agree").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
-    best = each.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("c"))).alias("m")).select("a", (-F.col("m.c")).alias("b"))
-    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = scratch.keep(confirm(best, texts))
-    labels = components(links, scratch)
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    more = scratch.keep(confirm(apart.join(best, ["a", "b"], "left_anti"), texts))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more), scratch)
+    labels, links, tried = None, [], []
+    for k in range(0, TREES + 1, ROUND_TREES):
+        last = k >= TREES
+        known = reps.withColumn("label", F.col("rep")) if labels is None else reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        pairs = candidates(known, range(TREES) if last else range(k, k + ROUND_TREES), not last, scratch)
+        pairs = pairs.select("a", "b") if last else most_alike(pairs)
+        for t in tried:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        tried.append(scratch.keep(pairs))
+        links.append(scratch.keep(confirm(tried[-1], texts_of(tried[-1], docs, scratch))))
+        if labels is None or not links[-1].isEmpty():
+            labels = components(reduce(DataFrame.unionByName, links), scratch)
     classes = reps.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("_label"))
     rows = table.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     out = rows.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("_label", "doc_id").alias("component_id"))
