@@ -28,15 +28,40 @@ def uniform(ids: np.ndarray, seed: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) / 2.0**64
 
 
-def pivot(size: np.ndarray, frac: np.ndarray, u: np.ndarray) -> np.ndarray:
+def pair(size: np.ndarray, frac: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Make all but one of the fractions 0 or 1, keeping their expectations and the sum of size * fraction.
 
+    Two fractional rows meet; words move between them until one is 0 or 1, in
+    a direction drawn so that neither expectation changes. The other one meets
+    the next row.
+    """
+    x, carried = frac.astype(float).tolist(), -1
+    a = size.tolist()
+    for i in range(len(x)):
+        if not (0.0 < x[i] < 1.0 and a[i] > 0):
+            continue
+        if carried < 0:
+            carried = i
+            continue
+        c = carried
+        up, down = min(a[c] * (1 - x[c]), a[i] * x[i]), min(a[c] * x[c], a[i] * (1 - x[i]))
+        move = up if u[i] * (up + down) < down else -down
+        x[c], x[i] = x[c] + move / a[c], x[i] - move / a[i]
+        for k in (c, i):
+            if min(x[k], 1 - x[k]) < 1e-9:
+                x[k] = float(round(x[k]))
+        carried = next((k for k in (c, i) if 0.0 < x[k] < 1.0), -1)
+    return np.array(x)
+
+
+def pivot(size: np.ndarray, frac: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """As ``pair`` for rows of one fraction: here the row that stays fractional is among the smallest.
+
     Rows come from the largest to the smallest. Each is paired with the pool
     of all rows after it: words move between the two until the row is 0 or 1,
     or the pool is empty or full, in a direction drawn so that no expectation
     changes. Giving scales all fractions of the pool, taking scales what they
-    lack of 1, so one affine map says how the pool stands. The row that stays
-    fractional is thus among the smallest.
+    lack of 1, so one affine map says how the pool stands.
     """
     out = frac.astype(float).copy()
     rows = np.flatnonzero((frac > 0) & (frac < 1) & (size > 0))
@@ -107,7 +132,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
             part = part.sort_values(["size", "doc_id"], ascending=False, kind="stable").reset_index(drop=True)
             frac = np.where(part["size"] > 0, part["frac"], 0.0)
             u = uniform(part["doc_id"].fillna(-1).to_numpy(np.int64), seed * 1000 + level)
-            x = pivot(part["size"].to_numpy(), frac, u)
+            # the rows of a leaf have the fraction of their source; what leaves have over differs
+            x = (pair if level else pivot)(part["size"].to_numpy(), frac, u)
             whole = (x <= 0.0) | (x >= 1.0)
             if (part["width"] <= 1).all():  # the root: what is left is drawn by itself
                 last = uniform(part["doc_id"].fillna(-1).to_numpy(np.int64), seed * 1000 + 999)
@@ -145,6 +171,6 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """
     chosen = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
     chosen = chosen.agg(F.ceil(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
-    repeated = docs.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*(f"`{c}`" for c in docs.columns))
+    rows = docs.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), word_count(F.col("text")).alias("_n"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"))
+    same = F.col("_d").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
+    return rows.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
