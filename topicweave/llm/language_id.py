@@ -115,7 +115,8 @@ def train(rows: DataFrame, dimensions: int = DIMENSIONS, order: int = ORDER) ->
                 merged = np.stack([shares[which == k].sum(axis=0) for k in range(len(langs))])
                 for lang, v in zip(langs, merged @ gram_vectors(grams, dimensions), strict=True):
                     sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
-        yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 
     part = rows.select("text", "lang").filter("text is not null and lang is not null").mapInPandas(bundle, "lang string, v array<double>")
     summed = part.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
@@ -173,5 +174,6 @@ def known_language(docs: DataFrame) -> DataFrame:
     Rows go by doc_id: where rows share one, all stay if any has a language.
     """
     found = predict(docs, train(docs.filter(~held_out_rows())))
-    known = found.groupBy("doc_id").agg(F.max(F.col("lang_pred") != "und").alias("_known")).filter("not _known").select(F.col("doc_id").alias("_id"))
-    return docs.join(known, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    without = found.groupBy("doc_id").agg(F.max(F.col("lang_pred") != "und").alias("_known")).filter("not _known").select(F.col("doc_id").alias("_id"))
+    rows = docs.select(F.col("doc_id").alias("_d"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"))
+    return rows.join(without, F.col("_d").eqNullSafe(F.col("_id")), "left_anti").select("_row.*")

@@ -110,10 +110,11 @@ def judge(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE_OF
 def without_frequent_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE_OF_HOST) -> DataFrame:
     """``docs`` with frequent lines cut from the texts."""
     gone = removed_chars(docs, frequent_lines(docs, least, share)).select("_doc", "_host", "_content", "_gone")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_host")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_content"))
-    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normal(x))))
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text")
-    return docs.join(gone, same, "left").select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.col("doc_id").alias("_d"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_s"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"))
+    left = F.filter(F.split("_row.text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normal(x))))
+    text = F.when(F.col("_gone").isNull() | F.col("_row.text").isNull(), F.col("_row.text")).otherwise(F.array_join(left, "\n")).alias("text")
+    joined = rows.join(gone, F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_s") == F.col("_host")) & (F.col("_t") == F.col("_content")), "left")
+    return joined.select(*(text if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))
 
 
 SQL = rf"""
