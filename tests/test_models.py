@@ -284,3 +284,20 @@ def test_fold_in_batch_and_stream(spark, tmp_path):
     assert spark.table("folded").count() == 3
     timed = spark.createDataFrame([(0, [0.9, 0.1], "2024-01-01 00:00:00")], "doc_id long, topics array<double>, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert topic_counts(timed, "ts", "1 minute", "5 minutes").first().topic == 0
+
+
+def test_sampled_perplexity_resume_and_growth(spark, planted, tmp_path):
+    from topicweave.sources import writers
+
+    config = ModelConfig(topics=2, cycles=10, alpha=Prior("dir", weight=0.3), beta=Prior("dir", weight=0.05))
+    state = sampler.fit(planted, config)
+    value, n = sampler.log2_perplexity_sampled(state, planted.filter("doc_id < 6"), 2, 3)
+    assert n == 180 and 4 < value < 5.5  # 20 words for each topic
+    writers.save_state(str(tmp_path / "s"), {"tokens": state.tokens}, {"config": state.config.as_dict(), "root": state.root.tolist(), "cycle": state.cycle})
+    tables, params = writers.load_state(spark, str(tmp_path / "s"))
+    back = sampler.resume(tables["tokens"], ModelConfig.from_dict(params["config"]), np.array(params["root"]), params["cycle"])
+    assert back.config == state.config and sorted(map(tuple, back.tokens.collect())) == sorted(map(tuple, state.tokens.collect()))
+    more = sampler.fit(planted, config, state=sampler.grow(sampler.resume(tables["tokens"], back.config), 3))
+    assert more.config.topics == 3 and more.tokens.count() == 1200 and purity(more) > 0.9
+    with pytest.raises(ValueError, match="more than the model"):
+        sampler.resume(tables["tokens"], ModelConfig(topics=1))

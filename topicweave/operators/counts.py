@@ -127,3 +127,15 @@ def cumulative_lengths(lengths: DataFrame) -> DataFrame:
     before = blocks.withColumn("before", F.coalesce(F.sum("n").over(W.Window.orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).select("block", "before")
     inside = F.coalesce(F.sum("len").over(W.Window.partitionBy("block").orderBy("doc_id").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
     return lengths.withColumn("block", block).withColumn("inside", inside).join(before, "block").select("doc_id", "len", (F.col("before") + F.col("inside")).alias("start"))
+
+
+def active_sparsity(share: DataFrame, active: DataFrame, docs: int) -> DataFrame:
+    """sparsity: one less the share-weighted part of the documents in which a topic is active. ``active`` has topic, docs."""
+    return share.join(active, "topic", "left").agg((1 - F.sum(F.col("share") * F.coalesce("docs", F.lit(0)) / docs)).alias("sparsity"))
+
+
+def probability_summary(probs: DataFrame, tables: DataFrame) -> DataFrame:
+    """empty, effective: topics without a count, and exp of the entropy of their probabilities (topic, prob)."""
+    p = F.col("prob")
+    both = probs.join(tables.select("topic", "n"), "topic", "left")
+    return both.agg(F.count_if(F.coalesce("n", F.lit(0)) == 0).alias("empty"), F.exp(-F.sum(F.when(p > 0, p * F.log(p)).otherwise(0.0))).alias("effective"))

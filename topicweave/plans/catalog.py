@@ -297,6 +297,19 @@ def class_entropy(w):
     return rounded(counts.class_entropy(class_counts(w)), "entropy")
 
 
+@query("SELECT round(1 - sum(share * docs / d), 9) AS sparsity FROM (SELECT topic, n_k / sum(n_k) OVER () AS share FROM tn) JOIN (SELECT topic, count(*) AS docs FROM dt GROUP BY topic) USING (topic), dn")
+def active_sparsity(w):
+    active = w.doc_topic.groupBy("topic").agg(F.count("*").alias("docs"))
+    return rounded(counts.active_sparsity(counts.topic_share(counts.totals(w.word_topic, "topic")), active, w.doc_count), "sparsity", digits=9)
+
+
+@query("SELECT (SELECT count(*) FROM topics WHERE topic NOT IN (SELECT topic FROM tn)) AS empty, round(exp(-sum(p * ln(p))), 6) AS effective FROM (SELECT n_k / sum(n_k) OVER () AS p FROM tn)")
+def topic_probs_summary(w):
+    tt = counts.totals(w.word_topic, "topic")
+    probs = w.topics.join(counts.topic_share(tt).select("topic", F.col("share").alias("prob")), "topic", "left").withColumn("prob", F.coalesce("prob", F.lit(0.0)))
+    return rounded(counts.probability_summary(probs, tt), "effective")
+
+
 # Reports
 
 
@@ -941,3 +954,10 @@ def heldout_perplexity(w):
     state = sampler.fit(modelled(w).filter(F.col("doc_id") % 10 != 0), LDA)
     value, n = sampler.log2_perplexity(state, test, burn=2, sweeps=2)
     return w.spark.createDataFrame([(value, n)], "log2_perplexity double, tokens long")
+
+
+@query()
+def heldout_perplexity_sampled(w):
+    state = sampler.fit(modelled(w).filter(F.col("doc_id") % 10 != 0), LDA)
+    value, n = sampler.log2_perplexity_sampled(state, modelled(w).filter(F.col("doc_id") % 10 == 0), burn=2, sweeps=2)
+    return w.spark.createDataFrame([(value, n)], "log2_perplexity double, tokens long")
