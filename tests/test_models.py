@@ -120,7 +120,9 @@ def test_merge_gain_is_the_difference_of_likelihoods(z):
 
 def test_probabilities_sum_to_one(z):
     dt, wt = counts.doc_topic(z), counts.word_topic(z)
-    for df, key in ((inference.theta_dirichlet(dt, 3, 0.1), "doc_id"), (inference.phi_dirichlet(wt, 5, 3, 0.1), "topic"), (inference.theta_gamma(dt, 0.1, 1.0, 1.0), "doc_id")):
+    latent = dt.select("doc_id").distinct().withColumn("un", F.lit(2.0))
+    thetas = [(inference.theta_gamma(dt, latent, 3, 0.1, 1.0, s), "doc_id") for s in (None, (1.0, 1.0))]
+    for df, key in ((inference.theta_dirichlet(dt, 3, 0.1), "doc_id"), (inference.phi_dirichlet(wt, 5, 3, 0.1), "topic"), *thetas):
         assert all(r.s == pytest.approx(1) for r in df.groupBy(key).agg(F.sum("p").alias("s")).collect())
     base = z.sparkSession.createDataFrame([(k, 1 / 3) for k in range(3)], "topic long, p double")
     assert all(r.s == pytest.approx(1) for r in inference.theta_pitman_yor(dt, base, 0.3, 2.0).groupBy("doc_id").agg(F.sum("p").alias("s")).collect())

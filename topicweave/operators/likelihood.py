@@ -72,14 +72,33 @@ def burst(z: DataFrame, a: float, b: float) -> DataFrame:
     return pitman_yor(cell.withColumn("g", F.struct("doc_id", "topic")), "g", a, b)
 
 
-def gamma_documents(dt: DataFrame, shape: float, rate: float, mass: float) -> DataFrame:
-    """loglik of a normalised-gamma side: sum_t [G(n, shape) + shape ln rate - (n + shape) ln(rate + mass)] over topics present, + (N - 1) ln mass - lgamma(N)."""
+def gamma_documents(dt: DataFrame, latent: DataFrame, topics: int, shape: float, rate: float, sparse: tuple[float, float] | None = None) -> DataFrame:
+    """loglik of a normalised-gamma side with the latent mass un of each document (doc_id, un).
+
+    A document adds (N - 1) ln un - lgamma(N), and for each active topic
+    G(n, shape) + shape ln rate - (n + shape) ln(rate + un). All topics are
+    active, or with ``sparse``, the weights of being active or not, those with
+    a count; then a topic adds the beta integral of its number of documents.
+    """
+    known = dt.join(latent, "doc_id")
+    scale = F.log(F.lit(rate) + F.col("un"))
     cells = log_rising_histogram(dt, "n", shape).toDF("c")
-    rest = dt.agg(F.sum(shape * math.log(rate) - (F.col("n") + shape) * math.log(rate + mass)).alias("r"))
-    length = counts.totals(dt, "doc_id", name="len")
-    latent = length.agg(F.sum((F.col("len") - 1) * math.log(mass)).alias("l"))
-    norm = log_rising_histogram(length.withColumn("m", F.col("len") - 1), "m", 1.0).toDF("g")
-    return cells.crossJoin(rest).crossJoin(latent).crossJoin(norm).select((F.col("c") + F.col("r") + F.col("l") - F.col("g")).alias("loglik"))
+    rest = known.agg(F.sum(shape * math.log(rate) - (F.col("n") + shape) * scale).alias("r"))
+    docs = known.groupBy("doc_id", "un").agg(F.sum("n").alias("len"), F.count("*").alias("k"))
+    unused = F.lit(0.0) if sparse else F.sum((topics - F.col("k")) * (shape * math.log(rate) - shape * scale))
+    mass = docs.agg(F.sum((F.col("len") - 1) * F.log("un")).alias("l"), unused.alias("z"), F.count("*").alias("docs"))
+    norm = log_rising_histogram(docs.withColumn("m", F.col("len") - 1), "m", 1.0).toDF("g")
+    out = cells.crossJoin(rest).crossJoin(mass).crossJoin(norm)
+    if not sparse:
+        return out.select((F.col("c") + F.col("r") + F.col("l") + F.col("z") - F.col("g")).alias("loglik"))
+    on, off = sparse
+    used = dt.groupBy("topic").agg(F.count("*").alias("a")).crossJoin(F.broadcast(mass.select("docs")))
+    idle = F.lit(float(topics)) - F.count("*")
+    beta = log_rising(F.col("docs") - F.col("a"), off) + log_rising(F.col("a"), on)
+    constant = math.lgamma(on) + math.lgamma(off) - math.lgamma(on + off)
+    over = used.agg(F.sum(beta).alias("b"), idle.alias("idle"))
+    every = log_rising(F.col("docs"), on + off)
+    return out.crossJoin(over).select((F.col("c") + F.col("r") + F.col("l") - F.col("g") + F.col("b") + F.col("idle") * log_rising(F.col("docs"), off) + topics * (F.lit(constant) - every)).alias("loglik"))
 
 
 def perplexity(*parts: DataFrame, tokens: int) -> float:

@@ -552,9 +552,23 @@ def theta_pitman_yor(w):
     return rounded(inference.theta_pitman_yor(w.doc_topic, w.topics.withColumn("p", F.lit(1.0 / TOPICS)), 0.5, 10.0), "p", digits=9)
 
 
-@query("SELECT doc_id, topic, round((n + 0.5::double) / sum(n + 0.5::double) OVER (PARTITION BY doc_id), 9) AS p FROM dt")
+def latent_of(w: Workspace) -> DataFrame:
+    """The mass of a document for tests of the normalised-gamma side: twice its length."""
+    return counts.totals(w.doc_topic, "doc_id", name="len").select("doc_id", (F.col("len") * 2.0).alias("un"))
+
+
+NG_GRID = "SELECT doc_id, topic, n, 2.0::double * len AS un FROM dl CROSS JOIN topics LEFT JOIN dt USING (doc_id, topic)"
+
+
+@query(f"SELECT doc_id, topic, round(v / sum(v) OVER (PARTITION BY doc_id), 9) AS p FROM (SELECT doc_id, topic, (coalesce(n, 0) + 0.5::double) / (un + 1) AS v FROM ({NG_GRID}))")
 def theta_gamma(w):
-    return rounded(inference.theta_gamma(w.doc_topic, 0.5, 1.0, 2.0), "p", digits=9)
+    return rounded(inference.theta_gamma(w.doc_topic, latent_of(w), TOPICS, 0.5, 1.0), "p", digits=9)
+
+
+@query(f"""SELECT doc_id, topic, round(v / sum(v) OVER (PARTITION BY doc_id), 9) AS p FROM (SELECT doc_id, topic, (coalesce(n, 0) + 0.5::double) / (un + 1) * CASE WHEN n IS NULL THEN (1 + a) / (3 + (SELECT count(*) FROM dl))::double ELSE 1 END AS v
+  FROM ({NG_GRID}) JOIN (SELECT topic, count(*) AS a FROM dt GROUP BY topic) USING (topic))""")
+def theta_gamma_sparse(w):
+    return rounded(inference.theta_gamma(w.doc_topic, latent_of(w), TOPICS, 0.5, 1.0, sparse=(1.0, 2.0)), "p", digits=9)
 
 
 @query(f"""SELECT topic, word_id, round((n - 0.5::double + (100 + 0.5::double * tables) / {MODEL_WORDS}) / (n_k + 100), 9) AS p FROM wt JOIN (SELECT topic, sum(n) AS n_k, count(*) AS tables FROM wt GROUP BY topic) USING (topic)""")
@@ -768,9 +782,18 @@ def lik_burst(w):
     return rounded(likelihood.burst(w.z, 0.5, 100.0), "loglik", digits=3)
 
 
-@query("""SELECT round((SELECT sum(lgamma(n + 0.5::double) - lgamma(0.5::double) - (n + 0.5::double) * ln(3.0::double)) FROM dt) + (SELECT sum((len - 1) * ln(2.0::double) - lgamma(len)) FROM dl), 3) AS loglik""")
+NG_DOCS = "(SELECT sum((len - 1) * ln(2.0::double * len) - lgamma(len)) FROM dl)"
+
+
+@query(f"SELECT round((SELECT sum(lgamma(coalesce(n, 0) + 0.5::double) - lgamma(0.5::double) - (coalesce(n, 0) + 0.5::double) * ln(1 + un)) FROM ({NG_GRID})) + {NG_DOCS}, 3) AS loglik")
 def lik_gamma_docs(w):
-    return rounded(likelihood.gamma_documents(w.doc_topic, 0.5, 1.0, 2.0), "loglik", digits=3)
+    return rounded(likelihood.gamma_documents(w.doc_topic, latent_of(w), TOPICS, 0.5, 1.0), "loglik", digits=3)
+
+
+@query(f"""SELECT round((SELECT sum(lgamma(n + 0.5::double) - lgamma(0.5::double) - (n + 0.5::double) * ln(1 + un)) FROM ({NG_GRID}) WHERE n > 0) + {NG_DOCS}
+  + (SELECT sum(lgamma(2 + d - a) + lgamma(1.0::double + a) - lgamma(3.0::double + d)) FROM (SELECT topic, count(*)::double AS a FROM dt GROUP BY topic), (SELECT count(*)::double AS d FROM dl)), 3) AS loglik""")
+def lik_gamma_docs_sparse(w):
+    return rounded(likelihood.gamma_documents(w.doc_topic, latent_of(w), TOPICS, 0.5, 1.0, sparse=(1.0, 2.0)), "loglik", digits=3)
 
 
 @query(f"SELECT round(-({ALPHA_SQL} + {BETA_SQL}) / (SELECT count(*) FROM z) / ln(2), 6) AS log2_perplexity")
@@ -884,6 +907,19 @@ def lik_epoch(w):
     return rounded(dynamic.likelihood(epoch_cells(w), ["topic"], "word_id", EPOCHS, 0.5, 100.0), "loglik", digits=3)
 
 
+MU_TABLES = chain_sql("(SELECT epoch, topic, count(*) AS n FROM (SELECT DISTINCT epoch, doc_id, topic FROM ez) GROUP BY ALL)", "", "topic", 0.5, 10.0, f"SELECT topic, 1.0::double / {TOPICS} AS p FROM topics", "mt")
+
+
+@query(f"""{MU_TABLES}, m AS (SELECT topic, epoch, n + c1 AS m, c FROM mtt WHERE n + c1 > 0)
+SELECT round({py_sql('dt', 'doc_id', 0.5, 10.0)} + (SELECT sum(lgamma(m - 0.5::double) - lgamma(0.5::double)) FROM m) + (SELECT sum(c * ln(0.5::double) + lgamma(c + 20.0::double) - lgamma(20.0::double) - lgamma(l + 10.0::double) + lgamma(10.0::double)) FROM (SELECT sum(m) AS l, sum(c) AS c FROM m GROUP BY epoch))
+  + (SELECT sum(lgamma(c + {5 / TOPICS}::double) - lgamma({5 / TOPICS}::double)) - lgamma(sum(c) + 5.0::double) + lgamma(5.0::double) FROM m WHERE epoch = 0), 3) AS loglik""")
+def lik_epoch_topics(w):
+    tables = epoch_z(w).select("epoch", "doc_id", "topic").distinct().groupBy("epoch", "topic").agg(F.count("*").alias("n"))
+    first = dynamic.with_tables(tables, ["topic"], EPOCHS).filter("epoch = 0").select("topic", F.col("c").alias("tables"))
+    parts = [likelihood.pitman_yor(w.doc_topic, "doc_id", 0.5, 10.0), dynamic.likelihood(tables, [], "topic", EPOCHS, 0.5, 10.0), likelihood.root_dirichlet(first, TOPICS, 5.0)]
+    return w.spark.createDataFrame([(round(sum(map(likelihood.one, parts)), 3),)], "loglik double")
+
+
 # Baskets: orders as documents, parts as words
 
 
