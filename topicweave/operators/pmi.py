@@ -16,34 +16,36 @@ def document_pairs(tokens: DataFrame, words: int) -> DataFrame:
 def pmi(pairs: DataFrame, marginals: DataFrame, windows: int, alpha: float = 0.0, sigma: float = 0.0, normalise: bool = False) -> DataFrame:
     """w1, w2, pmi from pair counts, word counts (word_id, n) and the number of windows.
 
-    ``alpha`` is added to the word counts. ``sigma`` moves counts that many
-    deviations towards independence, to 1 at least. ``normalise`` divides by
-    -ln of the pair's probability.
+    ``alpha`` is added to the word counts. ``sigma`` moves all counts that many
+    deviations towards independence, and past it a pair is independent.
+    ``normalise`` divides by -ln of the pair's share of the windows.
     """
     a = marginals.select(F.col("word_id").alias("w1"), (F.col("n") + alpha).alias("n1"))
     b = marginals.select(F.col("word_id").alias("w2"), (F.col("n") + alpha).alias("n2"))
     both = pairs.join(a, "w1").join(b, "w2").withColumn("c", F.col("c").cast("double"))
     total = F.lit(float(windows))
+    ratio = lambda c, n1, n2: (c / total) / ((n1 / total) * (n2 / total))
+    value = ratio(F.col("c"), F.col("n1"), F.col("n2"))
     if sigma:
-        up = F.col("c") * total > F.col("n1") * F.col("n2")
-        move = lambda x, sign: F.greatest(F.lit(1.0), F.col(x) + F.when(up, -sign).otherwise(sign) * sigma * F.sqrt(x))
-        moved = both.select("w1", "w2", up.alias("up"), move("c", 1.0).alias("c"), move("n1", -1.0).alias("n1"), move("n2", -1.0).alias("n2"))
-        value = F.log((F.col("c") / total) / ((F.col("n1") / total) * (F.col("n2") / total)))
-        # past independence it is independence
-        value = F.when(F.col("up"), F.greatest(value, F.lit(0.0))).otherwise(F.least(value, F.lit(0.0)))
-        both = moved
-    else:
-        value = F.log((F.col("c") / total) / ((F.col("n1") / total) * (F.col("n2") / total)))
-    if normalise:
-        value = value / -F.log(F.col("c") / total)
-    return both.select("w1", "w2", value.alias("pmi"))
+        less = [F.col(x) - sigma * F.sqrt(x) for x in ("c", "n1", "n2")]
+        more = [F.col(x) + sigma * F.sqrt(x) for x in ("c", "n1", "n2")]
+        lower = F.greatest(F.lit(1.0), ratio(less[0], more[1], more[2]))
+        upper = F.when((less[1] <= 0) | (less[2] <= 0), 1.0).otherwise(F.least(F.lit(1.0), ratio(more[0], less[1], less[2])))
+        value = F.when(value > 1, lower).otherwise(upper)
+    score = F.log(value)
+    return both.select("w1", "w2", (score / -F.log(F.col("c") / total) if normalise else score).alias("pmi"))
 
 
 def strong_pairs(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
-    """w1, w2, v: pairs in both directions with c * c >= threshold * c11 * c22, over the sum of what is kept of w2. ``own`` has word_id, n."""
+    """w1, w2, v: pairs in both directions, and words with themselves, with c * c >= threshold * c11 * c22, over the sum of what is kept of w2.
+
+    ``own`` has word_id, n: the diagonal.
+    """
     a, b = own.toDF("w1", "n1"), own.toDF("w2", "n2")
     kept = pairs.join(a, "w1").join(b, "w2").filter(F.col("c") * F.col("c") >= threshold * F.col("n1") * F.col("n2")).select("w1", "w2", "c")
     both = kept.unionByName(kept.select(F.col("w2").alias("w1"), F.col("w1").alias("w2"), "c"))
+    if threshold <= 1:
+        both = both.unionByName(own.filter("n > 0").select(F.col("word_id").alias("w1"), F.col("word_id").alias("w2"), F.col("n").alias("c")))
     total = both.groupBy("w2").agg(F.sum("c").alias("total"))
     return both.join(total, "w2").select("w1", "w2", (F.col("c") / F.col("total")).alias("v"))
 

@@ -471,9 +471,9 @@ def npmi(w):
     return rounded(p.drop("c"), "pmi")
 
 
-@query("""SELECT w1, w2, round(CASE WHEN up THEN greatest(v, 0) ELSE least(v, 0) END, 6) AS pmi FROM (
-  SELECT w1, w2, up, ln((greatest(1, c + CASE WHEN up THEN -1 ELSE 1 END * sqrt(c)) / d) / ((greatest(1, n1 + CASE WHEN up THEN 1 ELSE -1 END * sqrt(n1)) / d) * (greatest(1, n2 + CASE WHEN up THEN 1 ELSE -1 END * sqrt(n2)) / d))) AS v
-  FROM (SELECT w1, w2, c::double AS c, a.df::double AS n1, b.df::double AS n2, d::double AS d, c::double * d > a.df::double * b.df AS up FROM pc JOIN voc a ON a.word_id = w1 JOIN voc b ON b.word_id = w2, dn))""")
+@query("""SELECT w1, w2, round(ln(CASE WHEN c * d > n1 * n2 THEN greatest(1, ((c - sqrt(c)) / d) / (((n1 + sqrt(n1)) / d) * ((n2 + sqrt(n2)) / d)))
+  WHEN n1 <= 1 OR n2 <= 1 THEN 1 ELSE least(1, ((c + sqrt(c)) / d) / (((n1 - sqrt(n1)) / d) * ((n2 - sqrt(n2)) / d))) END), 6) AS pmi
+  FROM (SELECT w1, w2, c::double AS c, a.df::double AS n1, b.df::double AS n2, d::double AS d FROM pc JOIN voc a ON a.word_id = w1 JOIN voc b ON b.word_id = w2, dn)""")
 def pmi_sigma(w):
     return rounded(pmi_of(w, sigma=1.0), "pmi")
 
@@ -500,10 +500,11 @@ def named_pairs(w):
     return selection.named(p, w.vocab, w.vocab)
 
 
-@query("""SELECT w1, w2, round(c / sum(c) OVER (PARTITION BY w2), 9) AS v FROM (
-  SELECT w1, w2, c FROM k UNION ALL SELECT w2, w1, c FROM k)""".join(["WITH_K ", ""]).replace("WITH_K ", ", k AS (SELECT w1, w2, c FROM pc JOIN voc a ON a.word_id = w1 JOIN voc b ON b.word_id = w2 WHERE c * c >= 0.5::double * a.df * b.df) "))
+@query(""", k AS (SELECT w1, w2, c FROM pc JOIN voc a ON a.word_id = w1 JOIN voc b ON b.word_id = w2 WHERE c * c >= 0.5::double * a.df * b.df)
+SELECT w1, w2, round(c / sum(c) OVER (PARTITION BY w2), 9) AS v FROM (SELECT w1, w2, c FROM k UNION ALL SELECT w2, w1, c FROM k UNION ALL SELECT word_id, word_id, df FROM voc WHERE word_id < 200)""")
 def strong_pairs(w):
-    return rounded(pmi.strong_pairs(pairs_of(w), w.vocab.select("word_id", F.col("df").alias("n")), 0.5), "v", digits=9)
+    own = w.vocab.filter(F.col("word_id") < PAIR_WORDS).select("word_id", F.col("df").alias("n"))
+    return rounded(pmi.strong_pairs(pairs_of(w), own, 0.5), "v", digits=9)
 
 
 EXT = ", ext AS (SELECT word, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) GROUP BY word)"
@@ -599,6 +600,13 @@ def query_scores(w):
     return hits_of(w)
 
 
+@query("""SELECT qid, doc_id, round(sum(ln((d - df + 0.5::double) / (df + 0.5::double)) * tf * 2.6::double / (tf + 1.6::double * (0.25::double + 0.75::double * len / m))), 6) AS bm25
+FROM queries JOIN voc USING (word_id) JOIN (SELECT doc_id, word_id, count(*) AS tf FROM ct GROUP BY ALL) USING (word_id) JOIN len USING (doc_id), dn, (SELECT avg(len) AS m FROM len) GROUP BY qid, doc_id""")
+def query_bm25(w):
+    tf = selection.bags(w.tokens).withColumnRenamed("cnt", "tf")
+    return rounded(inference.query_bm25(queries_of(w), tf, w.vocab.select("word_id", "df"), selection.doc_lengths(w.tokens), w.doc_count), "bm25")
+
+
 @query("SELECT qid, doc_id, round(prob, 6) AS prob FROM post")
 def query_posterior(w):
     return rounded(inference.query_posterior(hits_of(w)), "prob")
