@@ -37,13 +37,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' distinct shingle hashes, sorted within a text, and the bounds of each text (len + 1)."""
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """A hash for each lower-cased (A-Z) word, the bounds of each text (len + 1), and the bytes with the first and last place of each word."""
     raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]  # of bytes: A-Z alone
-    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    joined = b" ".join([*raw, b""])
+    data = np.frombuffer(joined, np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raw])
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     inside = ~_SPACE[data]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -51,7 +50,12 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up, out=total[1:])
     words = mixed((total[last] - total[first]) * down[first] if len(first) else np.zeros(0, np.uint64))
-    bounds = np.concatenate([[0], np.searchsorted(first, ends)])
+    return words, np.concatenate([[0], np.searchsorted(first, ends)]).astype(np.int64), joined, first, last
+
+
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' distinct shingle hashes, sorted within a text, and the bounds of each text (len + 1)."""
+    words, bounds, *_ = word_hashes(texts)
     n = max(0, len(words) - WORDS + 1)
     windows = np.zeros(n, np.uint64)
     for k in range(WORDS):
