@@ -303,3 +303,9 @@ def test_sampled_perplexity_resume_and_growth(spark, planted, tmp_path):
     assert more.config.topics == 3 and more.tokens.count() == 1200 and purity(more) > 0.9
     with pytest.raises(ValueError, match="more than the model"):
         sampler.resume(tables["tokens"], ModelConfig(topics=1))
+
+
+def test_fixed_word_side(spark, planted):
+    phi = spark.createDataFrame([(k, w, 0.05 if w // 20 == k else 1e-6) for k in range(2) for w in range(40)], "topic long, word_id long, p double")
+    state = sampler.fit(planted, ModelConfig(topics=2, cycles=2, alpha=Prior("dir", weight=0.3), beta=Prior("dir")), phi=phi)
+    assert state.tokens.filter("topic = floor(word_id / 20)").count() > 1190
