@@ -205,8 +205,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         known = reps.withColumn("label", F.col("rep")) if labels is None else reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         pairs = candidates(known, range(TREES) if last else range(k, k + ROUND_TREES), not last, scratch)
         pairs = pairs.select("a", "b") if last else most_alike(pairs)
-        for t in tried:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
         tried.append(scratch.keep(pairs))
         links.append(scratch.keep(confirm(tried[-1], texts_of(tried[-1], docs, scratch))))
         if labels is None or not links[-1].isEmpty():
