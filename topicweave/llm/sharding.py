@@ -56,8 +56,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     ordered by their place on the curve, then doc_id and checksum, and the
     order is cut into runs whose counts differ by one at most (law ``rows``).
     Categories are cells by hash, so that rows of a source or language lie in
-    few runs and files can be skipped by any of the dimensions. Texts are read
-    once and not moved. A null text has no bytes; repeated rows are rows of
+    few runs and files can be skipped by any of the dimensions. Texts are not
+    moved. A null text has no bytes; repeated rows are rows of
     their own; with fewer rows than shards some shards stay empty. Columns
     other than doc_id, text, source and lang are not read.
     """
