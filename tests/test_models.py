@@ -309,3 +309,20 @@ def test_fixed_word_side(spark, planted):
     phi = spark.createDataFrame([(k, w, 0.05 if w // 20 == k else 1e-6) for k in range(2) for w in range(40)], "topic long, word_id long, p double")
     state = sampler.fit(planted, ModelConfig(topics=2, cycles=2, alpha=Prior("dir", weight=0.3), beta=Prior("dir")), phi=phi)
     assert state.tokens.filter("topic = floor(word_id / 20)").count() > 1190
+
+
+def test_left_to_right_is_near_the_exact_sum(planted):
+    import itertools
+
+    phi, prior, words = np.array([[0.7, 0.2, 0.1], [0.1, 0.3, 0.6]]), np.array([0.5, 0.5]), np.array([0, 2, 2, 1])
+    exact = 0.0
+    for z in itertools.product(range(2), repeat=4):
+        p, n = 1.0, np.zeros(2)
+        for w, k in zip(words, z, strict=True):
+            p *= (n[k] + prior[k]) / (n.sum() + prior.sum()) * phi[k, w]
+            n[k] += 1
+        exact += p
+    assert sampler.left_to_right(words, phi, prior, 4000, np.random.default_rng(0)) == pytest.approx(math.log(exact), abs=0.05)
+    state = sampler.fit(planted, ModelConfig(topics=2, cycles=10, alpha=Prior("dir", weight=0.3), beta=Prior("dir", weight=0.05)))
+    value, n = sampler.log2_perplexity_left_to_right(state, planted.filter("doc_id < 3"), 5)
+    assert n == 90 and 4 < value < 5.5
