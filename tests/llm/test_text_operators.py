@@ -83,7 +83,7 @@ def test_quality_lines(docs):
     rows = [(k, f"Share this  page\n{own(k)}", None, "h") for k in range(30)]
     rows += [(100, "SHARE this page\n" * 1 + "share this page\n" + "a " * 2 + own(100)[:9] + "\n" + "share this page\n" * 20, None, "h"), (101, f"share this page\n{own(101)}", None, "other"), (102, f"share this page\n{own(102)}")]
     rows += [(200 + k, "copy of one line " * 20, None, "h") for k in range(40)]  # one document in many copies
-    frequent = quality_rules.frequent_lines(docs(rows), least=20, share=0.0)
+    frequent = quality_rules.frequent_lines(docs(rows), quality_rules.kept_lines(docs(rows)), least=20, share=0.0)
     assert [r._host for r in frequent.collect()] == ["h"]
     got = {r.doc_id: r for r in quality_rules.judge(docs(rows), least=20, share=0.0).collect()}
     assert got[0].kept and got[0].lost_chars == len("share this page") and got[101].lost_chars == 0

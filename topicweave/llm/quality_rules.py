@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import Scratch
 from .words import SPACES, let, word_list
 
 #: A line is frequent in more distinct documents of its host than both.
@@ -70,22 +71,29 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.select("_doc", "_host", "_content", "_place", F.xxhash64("_text").alias("_line"), F.length("_text").cast("long").alias("_chars"))
 
 
-def frequent_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE_OF_HOST) -> DataFrame:
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """line_rows, written once; rows repeated with the same doc_id, source and text count once."""
+    rows = line_rows(docs).dropDuplicates(["_doc", "_host", "_content", "_place"])
+    return Scratch(docs.sparkSession, "quality-rules").keep(rows)
+
+
+def frequent_lines(docs: DataFrame, lines: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE_OF_HOST) -> DataFrame:
     """_host, _line of lines in more than ``least`` distinct documents of a host and more than ``share`` of them.
 
     Copies of one text are one document here, so that a text is not its own
     reason to go. Duplicates are combined before each exchange.
     """
-    lines = line_rows(docs).select("_host", "_line", "_content").distinct()
+    each = lines.select("_host", "_line", "_content").distinct()
     sizes = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_content")).distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
-    often = lines.groupBy("_host", "_line").agg(F.count("*").alias("_in")).filter(F.col("_in") > least)
-    return often.join(sizes, "_host").filter(F.col("_in") > F.col("_docs") * share).select("_host", "_line")
+    often = each.groupBy("_host", "_line").agg(F.count("*").alias("_in")).filter(F.col("_in") > least)
+    return often.join(sizes, "_host").filter(F.col("_in") > F.col("_docs") * share).select("_host", "_line", F.lit(True).alias("_often"))
 
 
-def removed_chars(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """_doc, _host, _content, _gone, _lost: the frequent line hashes of documents that have any, and their characters in all."""
-    hit = line_rows(docs).join(frequent, ["_host", "_line"]).dropDuplicates(["_doc", "_host", "_content", "_place"])
-    return hit.groupBy("_doc", "_host", "_content").agg(F.collect_set("_line").alias("_gone"), F.sum("_chars").alias("_lost"))
+def line_losses(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """_doc, _host, _content, _gone, _lost, _chars of documents with frequent lines: their hashes, their characters and those of all lines."""
+    marked = lines.join(frequent, ["_host", "_line"], "left")
+    out = marked.groupBy("_doc", "_host", "_content").agg(F.collect_set(F.when(F.col("_often"), F.col("_line"))).alias("_gone"), F.sum(F.when(F.col("_often"), F.col("_chars"))).alias("_lost"), F.sum("_chars").alias("_chars"))
+    return out.filter("_lost is not null")
 
 
 def judge(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE_OF_HOST, remains: float = REMAINS) -> DataFrame:
@@ -97,19 +105,19 @@ def judge(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE_OF
     Null and empty texts have no words, so the base fails. Rows that share
     doc_id, source and text are judged alike. An empty table gives no rows; other columns are not read.
     """
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(normal(x)))
-    keys = [F.col("doc_id").alias("_kdoc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_khost"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_kcontent"), F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x).alias("_kchars")]
-    rows = base_counts(docs, *keys)
-    lost = removed_chars(docs, frequent_lines(docs, least, share)).select("_doc", "_host", "_content", "_lost")
+    keys = [F.col("doc_id").alias("_kdoc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_khost"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_kcontent")]
+    rows, lines = base_counts(docs, *keys), kept_lines(docs)
+    lost = line_losses(lines, frequent_lines(docs, lines, least, share)).select("_doc", "_host", "_content", "_lost", (F.col("_lost") > F.col("_chars") * (1 - remains)).alias("_depleted"))
     same = F.col("_kdoc").eqNullSafe(F.col("_doc")) & (F.col("_khost") == F.col("_host")) & (F.col("_kcontent") == F.col("_content"))
-    out = rows.join(lost, same, "left").withColumn("lost_chars", F.coalesce("_lost", F.lit(0)))
-    depleted = F.col("lost_chars") > F.col("_kchars") * (1 - remains)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "lost_chars")
+    out = rows.join(lost, same, "left")
+    kept = ~F.col("base_failed") & ~F.coalesce("_depleted", F.lit(False))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.coalesce("_lost", F.lit(0)).alias("lost_chars"))
 
 
 def without_frequent_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE_OF_HOST) -> DataFrame:
     """``docs`` with frequent lines cut from the texts."""
-    gone = removed_chars(docs, frequent_lines(docs, least, share)).select("_doc", "_host", "_content", "_gone")
+    lines = kept_lines(docs)
+    gone = line_losses(lines, frequent_lines(docs, lines, least, share)).select("_doc", "_host", "_content", "_gone")
     rows = docs.select(F.col("doc_id").alias("_d"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_s"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"))
     left = F.filter(F.split("_row.text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normal(x))))
     text = F.when(F.col("_gone").isNull() | F.col("_row.text").isNull(), F.col("_row.text")).otherwise(F.array_join(left, "\n")).alias("text")
