@@ -29,8 +29,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document in a sequence."""
-    return packing.packed(docs)
+    """A row for each piece of a document in a sequence. Workers also serve the other stages, so they remember less than when they only pack."""
+    return packing.packed(docs, memo=packing.MEMO // 2)
 
 
 STAGES = [
