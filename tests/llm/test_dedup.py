@@ -107,6 +107,53 @@ def test_near_over_many_ranges(docs, spark, monkeypatch):
     assert got == components(rows)
 
 
+def crowd(groups, size=2):
+    """Texts that share much below the threshold, some of which are linked just above it."""
+    import random
+
+    rnd = random.Random(11)
+
+    def some(n):
+        return [f"v{rnd.randrange(10**9)}" for _ in range(n)]
+
+    core, rows = some(500), []
+    for _ in range(groups):
+        shared = some(25)
+        rows += [" ".join(core + shared + some(81)) for _ in range(size)] + [" ".join(core + some(106)) for _ in range(2)]
+    rnd.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [5_000, 7], ids=["whole", "blocks"])
+def test_near_in_a_crowd(docs, monkeypatch, block):
+    """No link is lost where many texts are nearly linked, also when frequent shingles are split into blocks."""
+    from topicweave.llm import prefix_join
+
+    monkeypatch.setattr(prefix_join, "BLOCK", block)
+    rows = crowd(100)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(rows)).collect()}
+    want = components(rows)
+    assert len(set(want.values())) == 300
+    assert got == want
+
+
+def test_prefix_join_finds_every_pair(docs, monkeypatch, tmp_path, spark):
+    """Without the rounds before it, in any order of shingles and however they are split."""
+    from topicweave.llm import prefix_join
+    from topicweave.plans.durable import Scratch
+
+    rows = [(i, t) for i, t in sample() if t and t.strip()]
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = {(i, j) for i in sets for j in sets if i < j and sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    scratch, table = Scratch(spark, "test"), docs(rows)
+    reps = near_dedup.signatures(table).select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("label"), "digest")
+    for block, known in ((5_000, 200_000), (3, 200_000), (5_000, 1)):
+        monkeypatch.setattr(prefix_join, "BLOCK", block)
+        monkeypatch.setattr(prefix_join, "KNOWN", known)
+        got = {(r.a, r.b) for r in prefix_join.like_pairs(table, reps, 75, scratch).collect()}
+        assert want <= got
+
+
 def test_near_odd_rows(odd, empty, docs):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == 10

@@ -1,4 +1,4 @@
-"""Near duplicates by an LSH forest over min-hash signatures."""
+"""Near duplicates by an LSH forest over min-hash signatures, finished by an exact join."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import Scratch, shuffle_width
+from .prefix_join import like_pairs
 from .shingles import minima, set_digests, shingle_sets, slices
 
 #: Sorted orders; those of a first round; min-hashes of one, the longest prefix; the shortest prefix that makes neighbours.
@@ -188,8 +189,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     a similarity of 0.75 or more; component_id is the smallest doc_id reachable.
     Equal sets (by a 128-bit digest of all their shingles) are one text from
     the start. In rounds, each with some of the orders, every text's most
-    alike candidate in another component is confirmed on the full sets; then,
-    by all orders, every candidate in another component. Null, empty and blank texts have no
+    alike candidate in another component is confirmed on the full sets; then
+    an exact join finds all pairs of other components that may be linked, so
+    that no link between components is lost. Null, empty and blank texts have no
     shingles and are linked with nothing; rows with a null doc_id have a null
     component_id. Rows that share a doc_id are one document with several
     texts. An empty table gives no rows; columns besides doc_id and text are
@@ -203,8 +205,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for k in range(0, TREES + 1, ROUND_TREES):
         last = k >= TREES
         known = reps.withColumn("label", F.col("rep")) if labels is None else reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        pairs = candidates(known, range(TREES) if last else range(k, k + ROUND_TREES), not last, scratch)
-        pairs = pairs.select("a", "b") if last else most_alike(pairs)
+        pairs = like_pairs(docs, known, PERCENT, scratch) if last else most_alike(candidates(known, range(k, k + ROUND_TREES), True, scratch))
         if tried:
             pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
         tried.append(scratch.keep(pairs))
