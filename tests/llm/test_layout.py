@@ -100,15 +100,13 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 WEIRD = ["a  b", " lead", "trail ", "x\n\ny z", "don't I'll we've", "tab\tx \n y", "word.\nNext, end.\n", "1.5,a,b;c 'sx o'.s", "é.È ñ!a\x1cb \x1c c", "", "  ", "a.\n b.\nc", "v.'s ll.'ll a.\n's", "a. b  c", "日本語 テスト.次\n。x", "a,_b ._c", "é. é,"]
 
 
-@pytest.mark.parametrize("text", WEIRD)
+@pytest.mark.parametrize("text", WEIRD, ids=range(len(WEIRD)))
 def test_encoder_equals_tokenizer(text):
     import public_tokenizers
 
@@ -116,6 +114,82 @@ def test_encoder_equals_tokenizer(text):
     assert np.frombuffer(e.encode(text), "<u4").tolist() == [*tokenizer().encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_encoder_equals_tokenizer_on_random_texts():
+    import public_tokenizers
+
+    e, t, rng = packing.Encoder.of(public_tokenizers.path("byte_bpe_50k.json")), tokenizer(), np.random.default_rng(3)
+    assert e.fast is not None
+    parts = ["<|endoftext|>", "'s", "'LL", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\u00a0", "\u3000", "1", "23", "½", "a", "bc", "The", "é", "ß", "漢", "ع", "𝔘", "🙂", "́", ".", ",", "'", "_", "-", "<|", "|>"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts, rng.integers(1, 25)))
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
+def plain_packing(leaves, window):
+    """Sequences of (doc, start, length) by the stated rule, level after level, with levels tried one by one: one root above the leaves."""
+
+    def place(levels, size):
+        def cost(h):
+            n = {k: len(v) for k, v in levels.items()}
+            if h:
+                n[h] -= 1
+            if h + size < window:
+                n[h + size] = n.get(h + size, 0) + 1
+            return sum(x * x for x in n.values())
+
+        return min((cost(h), -h) for h in range(window - size + 1) if h == 0 or levels.get(h))[1] * -1
+
+    def put(levels, pieces, size, done):
+        h = place(levels, size)
+        held = (levels[h].pop() if h else []) + pieces
+        if h + size == window:
+            done.append(held)
+        else:
+            levels.setdefault(h + size, []).append(held)
+
+    done, passed = [], []
+    for docs in leaves:
+        levels = {}
+        for doc, n in docs:
+            cut = n - n % window
+            done += [[(doc, s, window)] for s in range(0, cut, window)]
+            if n > cut:
+                put(levels, [(doc, cut, n - cut)], n - cut, done)
+        passed += [x for h in sorted(levels, reverse=True) for w in levels[h] for x in w]
+    levels = {}
+    for x in sorted(passed, key=lambda x: -x[2]):
+        put(levels, [x], x[2], done)
+    flow = [(d, s + i) for h in sorted(levels, reverse=True) for w in levels[h] for d, s, n in w for i in range(n)]
+    for k in range(0, len(flow), window):
+        part = flow[k : k + window]
+        starts = [i for i, (d, s) in enumerate(part) if not i or part[i - 1] != (d, s - 1)]
+        done.append([(*part[i], j - i) for i, j in zip(starts, [*starts[1:], len(part)], strict=True)])
+    return sorted(map(tuple, done))
+
+
+@pytest.mark.parametrize("window", [16, 64, 256])
+def test_packing_equals_a_plain_one(spark, window):
+    t, rng = tokenizer(), np.random.default_rng(window)
+    rows = [(i, " ".join(["word"] * int(rng.integers(0, 2 * window)))) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    leaves = [[(r.doc_id, len(t.encode(r.text, add_special_tokens=False).ids) + 1) for r in part] for part in table.rdd.glom().collect()]
+    seq = defaultdict(list)
+    for p in packing.packed(table, window=window).collect():
+        seq[p.sequence_id].append((p.offset, p.doc_id, p.start, p.length))
+    got = sorted(tuple(x[1:] for x in sorted(ps)) for ps in seq.values())
+    assert got == plain_packing([p for p in leaves if p], window)
+
+
+@pytest.mark.parametrize(("fan_in", "most_open"), [(2, 3), (8, 2048)])
+def test_packing_tree(spark, fan_in, most_open):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["word"] * int(rng.integers(0, 300)))) for i in range(600)]
+    pieces = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), window=128, fan_in=fan_in, most_open=most_open).collect()
+    assert whole(pieces, rows, 128) > 0.99
+    if most_open > 600:
+        assert sum(p.length for p in pieces if p.poured) < 0.15 * sum(p.length for p in pieces)
+
+
 def whole(pieces, rows, window=1024):
     """Every id in one piece; offsets without gaps; no sequence above the window."""
     t, by, seq = tokenizer(), defaultdict(list), defaultdict(list)
@@ -175,7 +249,7 @@ def test_sum_of_squares_places_best():
         options = [h for h in range(0, 11 - size) if h == 0 or n[h]]
         level = s.place(size)
         assert level in options and after(level) == min(map(after, options))
-        s.add((0,), size)
+        s.add([(0,)], size)
 
 
 @data
