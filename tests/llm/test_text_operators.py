@@ -78,17 +78,30 @@ def test_quality_base_counts(odd, empty, docs):
     assert quality_rules.judge(empty).count() == 0
 
 
+@pytest.mark.parametrize(("places", "bits"), [(24, 40), (24, 2), (3, 40)], ids=["hashes", "hashes that clash", "more windows than places"])
+def test_repeated_words_whatever_the_hash(spark, places, bits):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"][: 2 + k % 3], k)) for k in range(40)] + ["", "a", "a b", "a b c", "a a a a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("r", quality_rules.repeated_words(quality_rules.word_list(F.col("text")), places, bits))
+    assert {r.k: r.r for r in rows.collect()} == {k: brute_base(t)[4] for k, t in enumerate(texts)}
+
+
 def test_quality_lines(docs):
     own = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
     rows = [(k, f"Share this  page\n{own(k)}", None, "h") for k in range(30)]
     rows += [(100, "SHARE this page\n" * 1 + "share this page\n" + "a " * 2 + own(100)[:9] + "\n" + "share this page\n" * 20, None, "h"), (101, f"share this page\n{own(101)}", None, "other"), (102, f"share this page\n{own(102)}")]
     rows += [(200 + k, "copy of one line " * 20, None, "h") for k in range(40)]  # one document in many copies
-    frequent = quality_rules.frequent_lines(docs(rows), quality_rules.kept_lines(docs(rows)), least=20, share=0.0)
-    assert [r._host for r in frequent.collect()] == ["h"]
-    got = {r.doc_id: r for r in quality_rules.judge(docs(rows), least=20, share=0.0).collect()}
+    lines = quality_rules.line_rows(docs(rows))
+    frequent = {by: quality_rules.frequent_lines(lines, 20, by) for by in (False, True)}
+    assert [r._host for r in frequent[True].collect()] == ["h"] and [r._host for r in frequent[False].collect()] == ["h", "h"]
+    plain = lambda t: sorted(map(str, t.collect()))
+    assert plain(quality_rules.line_losses(lines, frequent[False])) == plain(quality_rules.line_losses(lines, frequent[False], 0))
+    copies = quality_rules.judge(docs(rows)).filter("doc_id >= 200").collect()
+    assert not any(r.kept for r in copies) and {r.lost_chars for r in copies} == {len("copy of one line " * 20) - 1}
+    got = {r.doc_id: r for r in quality_rules.judge(docs(rows), by_text=True).collect()}
     assert got[0].kept and got[0].lost_chars == len("share this page") and got[101].lost_chars == 0
     assert not got[100].kept and got[200].lost_chars == 0
-    clean = {r.doc_id: r.text for r in quality_rules.without_frequent_lines(docs([*rows, (300, None, None, "h")]), least=20, share=0.0).collect()}
+    clean = {r.doc_id: r.text for r in quality_rules.without_frequent_lines(docs([*rows, (300, None, None, "h")]), by_text=True).collect()}
     assert clean[0] == own(0) and clean[101].startswith("share") and clean[300] is None
 
 
