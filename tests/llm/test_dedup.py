@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,41 @@ def test_near_in_a_crowd(docs, monkeypatch, block):
     assert got == want
 
 
+def test_near_hub(docs):
+    """Texts that are each linked with one text and not with each other are one component."""
+    import random
+
+    rnd = random.Random(6)
+    base = [f"h{k}" for k in range(400)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 300):
+        t = list(base)
+        for j in rnd.sample(range(10, 390), 11):
+            t[j] = f"x{k}y{j}"
+        rows.append((k, " ".join(t)))
+    sets = [shingle_set(t) for _, t in rows]
+    assert all(100 * len(sets[0] & s) >= 75 * len(sets[0] | s) for s in sets[1:]) and 100 * len(sets[1] & sets[2]) < 75 * len(sets[1] | sets[2])
+    assert {r.component_id for r in near_dedup.near_duplicates(docs(rows)).collect()} == {0}
+
+
+def test_regions_take_the_depth_that_their_crowd_asks_for(monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 3)
+    rng = np.random.default_rng(2)
+    prefix = rng.integers(0, 3, (500, near_dedup.DEPTH)).astype(">u4")
+    tree = np.sort(rng.integers(0, 2, 500))
+    order = np.lexsort((*prefix.T[::-1], tree))
+    tree, prefix = tree[order], prefix[order]
+    rows = [(t, *p) for t, p in zip(tree.tolist(), prefix.tolist(), strict=True)]
+
+    def region(i):
+        for depth in range(near_dedup.LEAST_PREFIX, near_dedup.DEPTH + 1):
+            same = [j for j, r in enumerate(rows) if r[: depth + 1] == rows[i][: depth + 1]]
+            if len(same) <= 3 or depth == near_dedup.DEPTH:
+                return same[0]
+
+    assert near_dedup.regions(tree, prefix).tolist() == [region(i) for i in range(500)]
+
+
 def test_prefix_join_finds_every_pair(docs, monkeypatch, tmp_path, spark):
     """Without the rounds before it, in any order of shingles and however they are split."""
     from topicweave.llm import prefix_join

@@ -17,8 +17,8 @@ from .shingles import minima, set_digests, shingle_sets, slices
 
 #: Sorted orders; those of a first round; min-hashes of one, the longest prefix; the shortest prefix that makes neighbours.
 TREES, ROUND_TREES, DEPTH, LEAST_PREFIX = 12, 4, 8, 2
-#: Rows before each in an order with which it is compared. Where many share a prefix these share the longest one.
-NEIGHBOURS = 16
+#: Rows of a region whose texts are all compared. A larger one is divided by the next min-hash of the prefix.
+REGION = 24
 #: Single bytes of min-hashes by which a pair is estimated; how many must agree. At a similarity of 0.75, 48 are expected, and 31 or fewer once in a million.
 SKETCH, AGREE = 64, 32
 #: Links hold at 100 * intersection >= PERCENT * union.
@@ -59,15 +59,41 @@ def forest(reps: DataFrame, trees: range) -> DataFrame:
     return reps.select("rep", "label", "sketch", F.explode(orders).alias("o")).select("o.tree", "o.prefix", "rep", "label", "sketch")
 
 
+def regions(tree: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """For each sorted row the first row of its region.
+
+    The longest common prefix of neighbours says how deep each pair of them
+    stays together. A region is a run that shares LEAST_PREFIX min-hashes; one
+    of more than REGION rows is taken at the next depth, as often as needed,
+    so that every region has the depth that its crowd asks for. What is still
+    crowded at the full depth stays one region.
+    """
+    n = len(tree)
+    common = np.zeros(n, np.int64)
+    common[1:] = np.cumprod(prefix[1:] == prefix[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
+    first, settled = np.arange(n), np.zeros(n, bool)
+    for depth in range(LEAST_PREFIX, DEPTH + 1):
+        start = common < depth
+        group = np.cumsum(start) - 1
+        now = ~settled & ((np.bincount(group)[group] <= REGION) | (depth == DEPTH))
+        first[now] = np.flatnonzero(start)[group[now]]
+        settled |= now
+    return first
+
+
 def near(rows: pd.DataFrame, fresh: int, best: bool) -> pd.DataFrame:
-    """Pairs (a, b, agree) of sorted rows from ``fresh`` on with rows of other labels before them, all or for each row the most alike."""
+    """Pairs (a, b, agree) of sorted rows from ``fresh`` on with rows of other labels before them in their region, all or for each row the most alike.
+
+    In a region that is crowded at the full depth a row meets the REGION - 1
+    before it; the exact join finds what else is linked there.
+    """
     tree, rep, label = (rows[c].to_numpy() for c in ("tree", "rep", "label"))
-    prefix = np.frombuffer(b"".join(rows["prefix"]), ">u4").reshape(len(rows), DEPTH)[:, :LEAST_PREFIX]
+    prefix = np.frombuffer(b"".join(rows["prefix"]), ">u4").reshape(len(rows), DEPTH)
     sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), SKETCH)
+    first = regions(tree, prefix) if len(rows) else np.zeros(0, np.int64)
     found, at = [], np.arange(max(fresh, 1), len(rows))
-    for d in range(1, NEIGHBOURS + 1):
-        at = at[at >= d]
-        at = at[(tree[at] == tree[at - d]) & (prefix[at] == prefix[at - d]).all(axis=1)]
+    for d in range(1, REGION):
+        at = at[at - d >= first[at]]
         if not len(at):
             break
         other = at[label[at] != label[at - d]]
@@ -100,9 +126,9 @@ def candidates(reps: DataFrame, trees: range, best: bool, scratch: Scratch) -> D
         for part in parts:
             fresh = 0 if tail is None else len(tail)
             both = part if tail is None else pd.concat([tail, part], ignore_index=True)
-            head = both.head(NEIGHBOURS) if head is None or len(head) < NEIGHBOURS else head
+            head = both.head(REGION) if head is None or len(head) < REGION else head
             yield near(both, fresh, best).assign(kind=0, place=0, tree=0, prefix=b"", rep=0, label=0, sketch=b"")[COLUMNS]
-            tail = both.tail(NEIGHBOURS)
+            tail = both.tail(REGION)
         if head is not None:
             yield bound(head, 1)
             yield bound(tail, 2)
@@ -133,26 +159,33 @@ def most_alike(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def texts_of(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """rep, text of the documents that ``pairs`` names."""
+def sets_of(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """rep, shingles of the documents that ``pairs`` names: each set is hashed once."""
     named = scratch.keep(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
-    named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
-    return scratch.keep(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(named, "rep", "left_semi"))
+    few = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for some in slices(part.assign(text=part["text"].fillna(""))):
+                values, bounds = shingle_sets(some["text"].tolist())
+                yield pd.DataFrame({"rep": some["rep"].to_numpy(), "shingles": [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(few, "rep", "left_semi")
+    out = scratch.keep(texts.mapInPandas(run, "rep long, shingles binary"))
+    scratch.drop(named)
+    return out
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the threshold. ``texts`` has rep and text."""
-    left = pairs.select("a", "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets meet the threshold. ``sets`` has rep and shingles."""
+    left = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part = part.fillna("")
-            keep, known = np.zeros(len(part), bool), (None, None)
-            for i, (a, x, b, y) in enumerate(part[["a", "x", "b", "y"]].itertuples(index=False)):
-                if known[0] != b:  # rows of one b come together
-                    known = (b, shingle_sets([y])[0])
-                p, q = shingle_sets([x])[0], known[1]
+            keep = np.zeros(len(part), bool)
+            for i, (x, y) in enumerate(part[["x", "y"]].itertuples(index=False)):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 met = len(np.intersect1d(p, q, assume_unique=True))
                 keep[i] = 100 * met >= PERCENT * (len(p) + len(q) - met) and met > 0
             yield part.loc[keep, ["a", "b"]]
@@ -188,10 +221,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     as one where there are fewer. Documents are linked when their sets have
     a similarity of 0.75 or more; component_id is the smallest doc_id reachable.
     Equal sets (by a 128-bit digest of all their shingles) are one text from
-    the start. In rounds, each with some of the orders, every text's most
-    alike candidate in another component is confirmed on the full sets; then
-    an exact join finds all pairs of other components that may be linked, so
-    that no link between components is lost. Null, empty and blank texts have no
+    the start. In rounds, each with some of the orders of the forest, every
+    text's most alike candidate in another component is confirmed on the full
+    sets; then an exact join finds all pairs of other components that may be
+    linked, so that no link between components is lost. Null, empty and blank texts have no
     shingles and are linked with nothing; rows with a null doc_id have a null
     component_id. Rows that share a doc_id are one document with several
     texts. An empty table gives no rows; columns besides doc_id and text are
@@ -209,11 +242,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if tried:
             pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
         tried.append(scratch.keep(pairs))
-        links.append(scratch.keep(confirm(tried[-1], texts_of(tried[-1], docs, scratch))))
+        sets = sets_of(tried[-1], docs, scratch)
+        links.append(scratch.keep(confirm(tried[-1], sets)))
+        scratch.drop(sets)
         if labels is None or not links[-1].isEmpty():
             labels = components(reduce(DataFrame.unionByName, links), scratch)
+    scratch.drop(*tried)
     classes = reps.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("_label"))
-    rows = table.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    # a row without shingles has no class; it goes by its own id, so that such rows are not one key
+    rows = table.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).otherwise(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")).alias("digest"))
     out = rows.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("_label", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
