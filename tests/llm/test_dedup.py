@@ -63,6 +63,12 @@ def test_exact_keep_one(docs, empty):
     assert exact_dedup.keep_one(empty).count() == 0
 
 
+def test_exact_keep_one_with_maps(spark):
+    rows = [(1, "a", {"k": 1}, [{"x": 2}]), (3, "a", {"k": 3}, None), (None, "a", None, None), (None, "b", {"z": 0}, [])]
+    kept = exact_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, l array<map<string,int>>"))
+    assert sorted(((r.text, r.doc_id, r.m) for r in kept.collect())) == [("a", 3, {"k": 3}), ("b", None, {"z": 0})]
+
+
 def sample():
     import random
 

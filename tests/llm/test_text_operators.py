@@ -117,6 +117,12 @@ def test_url_filters(spark):
     assert url_filters.filter_captures(captures, listed.limit(0)).filter("blocked").count() == 0
 
 
+def test_url_hosts(spark):
+    urls = {"http://[::1]:80/x": ("[::1]", ["[::1]"]), "http://u@10.20.30.40:8/": ("10.20.30.40", ["10.20.30.40"]), "http://a.b.c.org./": ("a.b.c.org", ["a.b.c.org", "b.c.org", "c.org"]), "http://localhost": ("localhost", ["localhost"]), "http://[": (None, [None]), "http://": (None, [None])}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").withColumn("h", url_filters.host(F.col("url")))
+    assert {r.url: (r.h, r.d) for r in rows.withColumn("d", url_filters.domains(F.col("h"))).collect()} == urls
+
+
 def brute_scores(rows):
     words = {k: [*WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))), None] for k, (_, t) in enumerate(rows)}
     held = {k: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for k, (i, _) in enumerate(rows)}

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from ..plans.durable import Scratch
 
@@ -17,6 +18,12 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def has_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(has_map(f.dataType) for f in kind)
+    return isinstance(kind, (MapType, VariantType)) or isinstance(kind, ArrayType) and has_map(kind.elementType)
+
+
 def combine(rows: DataFrame, salts: int = SALTS, payload: list[str] | None = None) -> DataFrame:
     """One row for each distinct (_digest, _text): the winner and the number of rows.
 
@@ -25,10 +32,14 @@ def combine(rows: DataFrame, salts: int = SALTS, payload: list[str] | None = Non
     groups, and the global aggregation of salt winners. Digests that collide
     stay apart because the content is part of every key.
     """
-    best = F.max(F.struct("doc_id", *(payload or [])))
+    row = F.struct("doc_id", *(payload or []))
+    # columns without an order, such as maps, cannot decide between rows of one doc_id
+    ordered = not any(has_map(f.dataType) for f in rows.select(*(payload or [])).schema)
+    best = F.max(row) if ordered else F.max_by(row, F.struct("doc_id"))
+    again = F.max("_best") if ordered else F.max_by("_best", F.struct("_best.doc_id"))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
     salted = rows.groupBy("_digest", salt.alias("_salt"), "_text").agg(best.alias("_best"), F.count("*").alias("_n"))
-    return salted.groupBy("_digest", "_text").agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"))
+    return salted.groupBy("_digest", "_text").agg(again.alias("_best"), F.sum("_n").alias("_n"))
 
 
 def exact_duplicates(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:

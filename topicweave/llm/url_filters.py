@@ -12,18 +12,27 @@ SALTS = 16
 FIRST_DAY, DAYS = "2024-01-01", 360
 
 
+#: How a url names its host, and which hosts are addresses.
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^\[/?#:@]+)"
+ADDRESS = r"^(\[.*|[0-9.]+)$"
+
+
 def host(url: Column) -> Column:
-    """The host in lower case, without user, port and trailing dot; null where there is none."""
-    h = F.lower(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """The host in lower case, without user, port and trailing dot; null where there is none. An address of version 6 keeps its brackets."""
+    h = F.lower(F.regexp_extract(F.trim(url), HOST, 1))
     h = F.regexp_replace(h, r"\.+$", "")
     return F.when(h != "", h)
 
 
 def domains(h: Column) -> Column:
-    """The host and every domain above it, down to two labels."""
+    """The host and every domain above it, down to two labels; an address has none above it.
+
+    There is no list of public suffixes, so ``co.uk`` is a domain, which
+    matters only if a list has it as an entry.
+    """
     parts = F.split(h, r"\.")
     n = F.size(parts)
-    return F.when(n <= 2, F.array(h)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, n - i + 1), ".")))
+    return F.when((n <= 2) | h.rlike(ADDRESS), F.array(h)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, n - i + 1), ".")))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -81,17 +90,17 @@ def fetched(page_id: Column) -> Column:
 
 SQL = rf"""
 WITH captures AS (
-  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(trim(url), '{HOST}', 1)), '\.+$', ''), '') AS host,
          DATE '{FIRST_DAY}' + (page_id % {DAYS})::int AS day FROM pages),
 named AS (
-  SELECT DISTINCT host, length(host)::int AS n, array_to_string(string_split(host, '.')[-2:], '.') AS parent FROM captures WHERE host IS NOT NULL),
+  SELECT DISTINCT host, length(host)::int AS n, CASE WHEN regexp_matches(host, '{ADDRESS}') THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS parent FROM captures WHERE host IS NOT NULL),
 entries AS (
   SELECT DISTINCT * FROM (
     SELECT host AS domain, 'spam' AS label, DATE '{FIRST_DAY}' + k AS day, k <> n * 5 + 60 AS listed FROM (SELECT host, n, unnest([n * 5, n * 5 + 60, n * 5 + 200]) AS k FROM named WHERE n % 2 = 0)
     UNION ALL SELECT parent, 'adult', DATE '{FIRST_DAY}' + k, k = 100 FROM (SELECT parent, unnest([100, 130]) AS k FROM named WHERE n % 2 <> 0 AND n % 5 = 0))),
 spans AS (SELECT *, lead(day) OVER (PARTITION BY domain, label ORDER BY day) AS until FROM entries),
 hits AS (
-  SELECT DISTINCT page_id, label FROM captures JOIN spans ON host = domain OR ends_with(host, '.' || domain)
+  SELECT DISTINCT page_id, label FROM captures JOIN spans ON host = domain OR ends_with(host, '.' || domain) AND NOT regexp_matches(host, '{ADDRESS}')
   WHERE listed AND captures.day >= spans.day AND (until IS NULL OR captures.day < until)),
 labels AS (SELECT page_id, array_to_string(list_sort(list(label)), ',') AS labels FROM hits GROUP BY page_id)
 SELECT page_id, host, day::varchar AS day, labels IS NOT NULL AS blocked, coalesce(labels, '') AS labels FROM captures LEFT JOIN labels USING (page_id)
