@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def document_pairs(tokens: DataFrame, words: int) -> DataFrame:
-    """w1, w2, c with w1 < w2: documents that hold both of the first ``words`` word ids."""
-    seen = tokens.filter(F.col("word_id") < words).select("doc_id", "word_id").distinct()
-    a, b = seen.toDF("doc_id", "w1"), seen.toDF("doc_id", "w2")
-    return a.join(b, "doc_id").filter("w1 < w2").groupBy("w1", "w2").agg(F.count("*").alias("c"))
+def document_pairs(tokens: DataFrame, least: int = 1) -> DataFrame:
+    """w1, w2, c with w1 < w2: pairs of words that at least ``least`` documents hold both, and how many do. Words in fewer documents are left out before they meet."""
+    seen = tokens.select("doc_id", "word_id").distinct()
+    if least > 1:
+        seen = seen.join(seen.groupBy("word_id").agg(F.count("*").alias("df")).filter(F.col("df") >= least).select("word_id"), "word_id")
+    a, b = seen.select("doc_id", F.col("word_id").alias("w1")), seen.select("doc_id", F.col("word_id").alias("w2"))
+    return a.join(b, "doc_id").filter("w1 < w2").groupBy("w1", "w2").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
 
 
 def pmi(pairs: DataFrame, marginals: DataFrame, windows: int, alpha: float = 0.0, sigma: float = 0.0, normalise: bool = False) -> DataFrame:

@@ -10,24 +10,32 @@ from ..sources.corpus import encode, tokens_of_text, vocabulary
 from .durable import Scratch
 from .hashing import hashed
 
-#: Number of topics, words of the modelled vocabulary, Dirichlet priors, and the seed of topics drawn by hash.
-TOPICS, MODEL_WORDS, ALPHA, BETA, SEED = 10, 2000, 0.1, 0.01, 7
+#: Number of topics, Dirichlet priors, and the seed of topics drawn by hash.
+TOPICS, ALPHA, BETA, SEED = 10, 0.1, 0.01, 7
 EPOCHS = 4
 
 
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the tables, so that changed input is not answered from old tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 class Workspace:
     """Tables of one input directory; each is written when first asked for and then read back."""
 
-    _known: dict[tuple[str, str], Workspace] = {}
+    _known: dict[tuple, Workspace] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.scratch = Scratch(spark, "workspace")
         self.tables: dict[str, DataFrame] = {}
+        self.words_known: int | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Workspace:
-        key = (spark.sparkContext.applicationId, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir))
         if key not in cls._known:
             cls._known[key] = cls(spark, sf_dir)
         return cls._known[key]
@@ -59,10 +67,16 @@ class Workspace:
     def doc_count(self) -> int:
         return self.read("documents").count()
 
+    @property
+    def word_count(self) -> int:
+        if self.words_known is None:
+            self.words_known = self.vocab.count()
+        return self.words_known
+
     @property
     def z(self) -> DataFrame:
-        """doc_id, pos, word_id, topic over the modelled vocabulary, topics drawn by hash."""
-        return self.keep("z", lambda: self.tokens.filter(F.col("word_id") < MODEL_WORDS).withColumn("topic", hashed(F.col("doc_id").cast("string"), F.col("pos").cast("string"), str(SEED)) % TOPICS))
+        """doc_id, pos, word_id, topic of all tokens, topics drawn by hash."""
+        return self.keep("z", lambda: self.tokens.withColumn("topic", hashed(F.col("doc_id").cast("string"), F.col("pos").cast("string"), str(SEED)) % TOPICS))
 
     @property
     def word_topic(self) -> DataFrame:
