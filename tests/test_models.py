@@ -182,6 +182,31 @@ def test_predictions_match_all_pairs(spark):
         assert [got[d, r] for r in range(1, len(best) + 1)] == best
 
 
+def test_query_hits_match_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    theta, phi = rng.dirichlet(np.ones(3), 40), rng.dirichlet(np.ones(12) * 0.3, 3)
+    theta[20:] = theta[:20]  # ties
+    queries = [(q, int(w)) for q in range(6) for w in rng.choice(14, 4, replace=False)] + [(9, 13)]  # words 12 and 13 are unknown
+    frame = lambda m, a, b: spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(m) for j, v in enumerate(r)], f"{a} long, {b} long, p double")
+    asked = spark.createDataFrame(queries, "qid long, word_id long")
+    want = {}
+    for q in range(6):
+        words = [w for p, w in queries if p == q and w < 12]
+        cost = {d: round(float(-np.log(theta[d] @ phi[:, words]).sum()), 6) for d in range(40)}
+        want |= {(q, r): d for r, d in enumerate(sorted(cost, key=lambda d: (cost[d], d))[2:7], 3)}
+    for size in (inference.BROADCAST_BYTES, 100):
+        monkeypatch.setattr(inference, "BROADCAST_BYTES", size)
+        hits = inference.query_hits(asked, frame(theta, "doc_id", "topic").repartition(3), frame(phi, "topic", "word_id"), 7)
+        assert {(r.qid, r.rank): r.doc_id for r in inference.best_documents(hits, 5, skip=2).collect()} == want
+
+
+def test_precision_and_recall_count_unseen_words(spark):
+    predicted = spark.createDataFrame([(d, w) for d in range(4) for w in range(3)], "doc_id long, word_id long")
+    actual = spark.createDataFrame([(0, 0), (0, 0), (0, 9), (1, 2), (2, 7), (5, 1)], "doc_id long, word_id long")
+    r = inference.precision_recall(predicted, actual, 3).first()
+    assert (r.docs, r.empty) == (3, 1) and r.precision == pytest.approx((1 / 2 + 1 + 0) / 3) and r.recall == pytest.approx((1 / 2 + 1 + 0) / 3)
+
+
 def test_measures(spark):
     pairs = spark.createDataFrame([(0.5, 0.5), (0.5, 0.5)], "p double, q double").withColumn("k", F.lit(1))
     r = reports.vector_measures(pairs, ["k"], F.col("p"), F.col("q")).first()
