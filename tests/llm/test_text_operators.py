@@ -50,14 +50,67 @@ def test_language_odd_rows(odd, empty, docs, spark):
 
 
 def test_language_vectors_and_counts():
-    grams, counts = language_id.count_grams(["ab, ab", "", "B"])
-    found = {tuple(map(chr, g)): c.tolist() for g, c in zip(grams, counts.T, strict=True)}
-    assert found == {("\0", "a", "b"): [2, 0, 0], ("a", "b", "\0"): [2, 0, 0], ("b", "\0", "a"): [1, 0, 0], ("\0", "b", "\0"): [0, 0, 1]}
+    grams, place, owner, n = language_id.count_grams(["ab, ab", "", "B"])
+    found = {(tuple(map(chr, grams[p])), o): c for p, o, c in zip(place, owner, n, strict=True)}
+    assert found == {(("\0", "a", "b"), 0): 2, (("a", "b", "\0"), 0): 2, (("b", "\0", "a"), 0): 1, (("\0", "b", "\0"), 2): 1}
     v = language_id.gram_vectors(np.array([[97, 98, 99], [98, 97, 99]]), 1024)
     want = np.roll(language_id.letter_vector(97, 1024), 2) * np.roll(language_id.letter_vector(98, 1024), 1) * language_id.letter_vector(99, 1024)
     assert (v[0] == want).all() and abs(v[0] @ v[1]) < 200
 
 
+def plain_vector(text, dimensions, order=3):
+    """The bundle of a text's n-grams, letter by letter."""
+    import unicodedata
+
+    words = "".join(c.lower() if unicodedata.category(c)[0] == "L" else " " for c in text).split()
+    line = ["\0", *(c for w in words for c in (*w, "\0"))] if words else []
+    total = np.zeros(dimensions)
+    for k in range(len(line) - order + 1):
+        v = np.ones(dimensions)
+        for j, c in enumerate(line[k : k + order]):
+            v = v * np.roll(language_id.letter_vector(ord(c), dimensions), order - 1 - j)
+        total += v
+    return total, max(0, len(line) - order + 1)
+
+
+def test_language_predictions_equal_plain_ones(docs, monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    letters = {"x": "aeitnr", "y": "aeioun", "z": "éaßtdn"}
+    make = lambda lang: " ".join("".join(rng.choice(list(letters[lang]), rng.integers(1, 7))) for _ in range(rng.integers(1, 12)))
+    rows = [(k, make("xyz"[k % 3]), "xyz"[k % 3]) for k in range(60)] + [(k, make("xyz"[k % 3]) + " 12!") for k in range(60, 90)]
+    sums = {}
+    for i, text, lang in rows[:60]:
+        v, n = plain_vector(text, 64)
+        if n and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang] = sums.get(lang, 0) + v / n
+    unit = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items())}
+    for r in language_id.identify(docs(rows), dimensions=64).collect():
+        v, n = plain_vector(rows[r.doc_id][1], 64)
+        cosine = {k: float(v @ u / max(np.linalg.norm(v), 1e-9)) for k, u in unit.items()}
+        if n:
+            assert abs(r.score - (1 + max(cosine.values())) / 2) < 1e-4 and cosine[r.lang_pred] > max(cosine.values()) - 1e-4
+        else:
+            assert r.lang_pred == "und"
+
+
+def test_language_memory_of_a_text_with_many_letters():
+    """A million random characters out of 20,000 stay below 1 GB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from topicweave.llm import language_id as m
+text = "".join(map(chr, np.random.default_rng(0).integers(0x4E00, 0x4E00 + 20000, 1_000_000)))
+g, p, o, n = m.count_grams([text])
+v = m.bundles(g, p, o, n, 1, m.DIMENSIONS)
+print(len(g), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    grams, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()[-2:])
+    assert grams > 990_000 and mb < 1000
+
+
 def brute_base(text):
     text = text or ""
     w = WORD.findall(text)

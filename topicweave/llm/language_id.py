@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1024
 ORDER = 3
 BATCH_CHARS = 500_000
+#: N-grams whose vectors a worker holds at a time.
+BLOCK = 4096
 
 
 @lru_cache(maxsize=1)
@@ -30,7 +32,7 @@ def letter_codes() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1 << 15)
 def letter_vector(letter: int, dimensions: int) -> np.ndarray:
     """Random signs for a letter, the same everywhere; 0 stands for a word's edge."""
     return np.random.default_rng([7, letter]).integers(0, 2, dimensions).astype(np.int8) * np.int8(2) - np.int8(1)
@@ -41,13 +43,13 @@ def gram_vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
     out = np.ones((len(grams), dimensions), np.float32)
     for k in range(grams.shape[1]):
         letters, which = np.unique(grams[:, k], return_inverse=True)
-        turned = np.stack([np.roll(letter_vector(int(x), dimensions), grams.shape[1] - 1 - k) for x in letters])
+        turned = np.roll(np.stack([letter_vector(int(x), dimensions) for x in letters]), grams.shape[1] - 1 - k, axis=1) if len(letters) else np.ones((0, dimensions), np.int8)
         out *= turned[which]
     return out
 
 
-def count_grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of these texts and how often each text has each of them.
+def count_grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of these texts; and for each n-gram of each text, in the order of n-grams, its place among them, the text and how often it stands there.
 
     Words are runs of letters with one edge around them; windows hold a letter
     at least and stay inside a text.
@@ -71,18 +73,21 @@ def count_grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.nd
         key = key * base + at[k : k + n]
         some |= code[k : k + n] != 0
     key, owner = key[same & some], owner[:n][same & some]
-    if base**order <= 1 << 22:
-        present = np.zeros(base**order, bool)
-        present[key] = True
-        values = np.flatnonzero(present)
-        place = np.zeros(base**order, np.int64)
-        place[values] = np.arange(len(values))
-        place = place[key]
-    else:
-        values, place = np.unique(key, return_inverse=True)
-    counts = np.bincount(owner * len(values) + place, minlength=len(texts) * len(values)).reshape(len(texts), len(values))
+    values, place = np.unique(key, return_inverse=True)
+    cell, n = np.unique(place * len(texts) + owner, return_counts=True)
     grams = np.stack([letters[(values // base ** (order - 1 - k)) % base] for k in range(order)], axis=1) if len(values) else np.zeros((0, order), np.uint32)
-    return grams, counts.astype(np.float32)
+    return grams, cell // max(len(texts), 1), cell % max(len(texts), 1), n
+
+
+def bundles(grams: np.ndarray, place: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int, dimensions: int) -> np.ndarray:
+    """For each row the sum of the vectors of its n-grams by weight. Vectors are made for a block of n-grams at a time, so memory does not grow with their number."""
+    out = np.zeros((rows, dimensions), np.float32)
+    for k in range(0, len(grams), BLOCK):
+        a, b = np.searchsorted(place, [k, k + BLOCK])
+        size = min(BLOCK, len(grams) - k)
+        counts = np.bincount(row[a:b] * size + place[a:b] - k, weight[a:b], rows * size).reshape(rows, size).astype(np.float32)
+        out += counts @ gram_vectors(grams[k : k + BLOCK], dimensions)
+    return out
 
 
 def batches(part: pd.DataFrame, most: int = 128) -> Iterator[pd.DataFrame]:
@@ -108,12 +113,10 @@ def train(rows: DataFrame, dimensions: int = DIMENSIONS, order: int = ORDER) ->
         sums: dict[str, np.ndarray] = {}
         for part in parts:
             for some in batches(part):
-                grams, counts = count_grams(some["text"].tolist(), order)
-                total = counts.sum(axis=1, keepdims=True)
-                shares = np.divide(counts, total, out=np.zeros_like(counts), where=total > 0)
+                grams, place, owner, n = count_grams(some["text"].tolist(), order)
+                total = np.bincount(owner, n, len(some))
                 langs, which = np.unique(some["lang"].to_numpy(str), return_inverse=True)
-                merged = np.stack([shares[which == k].sum(axis=0) for k in range(len(langs))])
-                for lang, v in zip(langs, merged @ gram_vectors(grams, dimensions), strict=True):
+                for lang, v in zip(langs, bundles(grams, place, which[owner], n / total[owner], len(langs), dimensions), strict=True):
                     sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
         if sums:
             yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
@@ -136,14 +139,14 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], order: int = ORD
         for part in parts:
             part = part.assign(text=part["text"].fillna(""))
             for some in batches(part):
-                grams, counts = count_grams(some["text"].tolist(), order)
+                grams, place, owner, n = count_grams(some["text"].tolist(), order)
                 out = pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "lang_pred": "und", "score": 0.0})
                 if names and len(grams):
-                    vectors = counts @ gram_vectors(grams, matrix.shape[1])
+                    vectors = bundles(grams, place, owner, n, len(some), matrix.shape[1])
                     norm = np.linalg.norm(vectors, axis=1)
                     cosine = (vectors @ matrix.T) / np.maximum(norm, 1e-9)[:, None]
                     best = cosine.argmax(axis=1)
-                    known = counts.sum(axis=1) > 0
+                    known = np.bincount(owner, n, len(some)) > 0
                     out["lang_pred"] = np.where(known, np.array(names, object)[best], "und")
                     out["score"] = np.where(known, np.clip((1 + cosine.max(axis=1).astype(float)) / 2, 0, 1), 0.0)
                 yield out
