@@ -100,12 +100,13 @@ def test_language_memory_of_a_text_with_many_letters():
     import sys
 
     code = """
-import resource, numpy as np
+import numpy as np
 from topicweave.llm import language_id as m
 text = "".join(map(chr, np.random.default_rng(0).integers(0x4E00, 0x4E00 + 20000, 1_000_000)))
 g, p, o, n = m.count_grams([text])
 v = m.bundles(g, p, o, n, 1, m.DIMENSIONS)
-print(len(g), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+peak = [l for l in open("/proc/self/status") if l.startswith("VmHWM")][0].split()[1]  # of this program; ru_maxrss keeps that of the caller
+print(len(g), int(peak) // 1024)
 """
     grams, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()[-2:])
     assert grams > 990_000 and mb < 1000
@@ -220,6 +221,123 @@ def test_lm_is_a_distribution_and_learns():
     assert sum(first) == pytest.approx(1, abs=1e-3)
 
 
+def brute_marks(rows):
+    """For each row: by brute force over all pairs, what each token is and the log10 of its share (None where it is spelled)."""
+    texts = []
+    for doc_id, text in rows:
+        words = [w.lower() if w.isascii() else "".join(c.lower() if c < "\x80" else c for c in w) for w in WORD.findall(text or "")]
+        texts.append((zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 != 1, [None, *words, None]))
+    ones, twos = Counter(), Counter()
+    for train, t in texts:
+        if train:
+            ones.update(t[1:])
+            twos.update(zip(t, t[1:], strict=False))
+    out = []
+    for train, t in texts:
+        own1, own2 = (Counter(t[1:]), Counter(zip(t, t[1:], strict=False))) if train else (Counter(), Counter())
+        n = sum(ones.values()) - sum(own1.values())
+        marks = []
+        for h, w in zip(t, t[1:], strict=False):
+            pair, before, word = twos[h, w] - own2[h, w], ones[h] - own1[h], ones[w] - own1[w]
+            marks.append((2, math.log10(pair / before)) if pair else (1, math.log10(word / n)) if word else (0, None))
+        out.append(marks)
+    return out
+
+
+def test_lm_word_contexts_match_brute_force(docs, monkeypatch):
+    import random
+
+    from topicweave.llm import word_contexts
+
+    from .conftest import ODD
+
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    rows = [r for r in ODD if r[0] != 7] + [(k, " ".join(rnd.choices(words, k=rnd.randint(0, 30)))) for k in range(20, 120)]
+    rows += [(k, "one passage that stands in two texts and nowhere else") for k in (200, 201)]
+    seen = []
+    made = word_contexts.coded
+    want = Counter()
+    for marks in brute_marks(rows):
+        want[tuple(m[0] for m in marks), round(sum(m[1] or 0 for m in marks), 6)] += 1
+    # the operator's own stages, in one chunk and in this process
+    texts = [t or "" for _, t in rows]
+    train = np.array([zlib.crc32(b"" if k is None else str(k).encode()) % 5 != 1 for k, _ in rows])
+    found, bounds, *_ = word_contexts.word_hashes(texts)
+    now, before, ends = word_contexts.stream(found, bounds)
+    own = np.repeat(train, np.diff(ends)).astype(np.int64)
+    known, at = np.unique(now, return_inverse=True)
+    ids, place = np.unique(word_contexts.pair_ids(before, now, 4), return_inverse=True)
+    c, pairs = np.bincount(at, own).astype(np.int64), np.bincount(place, own).astype(np.int64)
+    marks, left = made(now, c[at], pairs[place], place, (at, len(known), len(ids)), train.astype(np.int64), ends, int(train.sum()), int(own.sum()), np.zeros(len(now)))
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        seen.append((tuple((marks[a:b] % 3).tolist()), round(left[a:b].sum(), 6)))
+    assert Counter(seen) == want
+    # and the counts that chunks get: every pair that another text can use, with its total
+    frame = docs(rows).select("text", lm_scoring.held_out(F.col("doc_id")).alias("held_out"), (F.coalesce("doc_id", F.lit(0)) % 3).alias("chunk"))
+    total = dict(zip(ids.tolist(), pairs.tolist(), strict=True))
+    chunks = np.repeat([(k or 0) % 3 for k, _ in rows], np.diff(ends))
+    for limit in (10**6, 50):  # all at once, and handed over in many parts
+        monkeypatch.setattr(word_contexts, "HELD_TOKENS", limit)
+        got = word_contexts.pair_counts(frame, 4).toPandas()
+        for chunk in range(3):
+            mine = got[got["chunk"] == chunk]
+            have = dict(zip(*(x.tolist() for x in word_contexts.pair_table(mine["bucket"].to_numpy(), mine["keys"].tolist(), mine["totals"].tolist())), strict=True))
+            inside = Counter(ids[place[chunks == chunk]].tolist())
+            assert all(total[i] == n for i, n in have.items())
+            assert {i for i, n in inside.items() if total[i] > 1 or (total[i] == 1 and n > 1)} <= have.keys() <= inside.keys()
+
+
+def test_lm_order_of_words_counts_and_partitions_do_not(spark, docs):
+    import random
+
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(rnd.choices(words, k=40))) for k in range(400)]
+    twice = " ".join(rnd.choices(words, k=40))
+    mixed = twice.split()
+    rnd.shuffle(mixed)
+    rows += [(1001, twice), (1002, twice), (1003, " ".join(mixed))]
+    train = [k for k in (1001, 1002) if zlib.crc32(str(k).encode()) % 5 != 1]
+    assert train
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    scores = []
+    for width in ("3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        scores.append({r.doc_id: r for r in lm_scoring.score(docs(rows).repartition(int(width))).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(r.score == pytest.approx(scores[1][k].score, abs=1e-9) for k, r in scores[0].items())
+    one = scores[0]
+    # the same words in another order, and texts that stand once, are far less likely than a text that stands twice
+    assert one[1003].base_score == pytest.approx(one[1001].base_score)
+    assert one[1001].score > one[1003].score / 2 and one[1003].score < -80
+    assert max(one[k].score for k in range(400)) < one[1001].score
+
+
+def test_lm_bits_follow_a_document():
+    from topicweave.llm import word_contexts
+
+    rnd = np.random.default_rng(3)
+    bounds = np.array([0, 0, 700, 6000, 6001])
+    state = rnd.integers(0, 3, 6001)
+    state[700:6000] = np.where(np.arange(5300) % 1000 < 500, 2, 1)  # long runs
+    features = ((rnd.integers(0, 16, 6001) * 8 + rnd.integers(0, 8, 6001)) * 3 + state).astype(np.uint16)
+    import pandas as pd
+
+    table = next(word_contexts.place_counts(iter([pd.DataFrame({"features": [features[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})])))
+    seen, ones = np.zeros(2 * word_contexts.TABLE), np.zeros(2 * word_contexts.TABLE)
+    seen[table["slot"]], ones[table["slot"]] = table["all"], table["ones"]
+    starts = word_contexts.learned(seen, ones, iter([(features, bounds)]))
+    together = word_contexts.bits_log10(starts, features, bounds)
+    apart = [word_contexts.bits_log10(starts, features[a:b], np.array([0, b - a]))[0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert together == pytest.approx(apart)  # a document's bits cost the same beside others
+    assert together[0] == 0 and together[2] / 5300 > together[1] / 700  # runs are cheaper than noise
+    for s, (_, places, gates, value) in zip(starts, word_contexts.decisions(features, bounds), strict=True):
+        one, *_ = s.run(places[:, :1], gates[:, :1], value[:1], np.array([0, 1]))
+        other, *_ = s.run(places[:, :1], gates[:, :1], ~value[:1], np.array([0, 1]))
+        assert np.exp(one[0]) + np.exp(other[0]) == pytest.approx(1)
+
+
 def test_license_edges(odd, empty, docs):
     assert license_scan.license_labels(empty).count() == 0
     got = license_scan.license_labels(odd).collect()
