@@ -256,7 +256,6 @@ def test_lm_word_contexts_match_brute_force(docs, monkeypatch):
     rows = [r for r in ODD if r[0] != 7] + [(k, " ".join(rnd.choices(words, k=rnd.randint(0, 30)))) for k in range(20, 120)]
     rows += [(k, "one passage that stands in two texts and nowhere else") for k in (200, 201)]
     seen = []
-    made = word_contexts.coded
     want = Counter()
     for marks in brute_marks(rows):
         want[tuple(m[0] for m in marks), round(sum(m[1] or 0 for m in marks), 6)] += 1
@@ -266,10 +265,10 @@ def test_lm_word_contexts_match_brute_force(docs, monkeypatch):
     found, bounds, *_ = word_contexts.word_hashes(texts)
     now, before, ends = word_contexts.stream(found, bounds)
     own = np.repeat(train, np.diff(ends)).astype(np.int64)
-    known, at = np.unique(now, return_inverse=True)
-    ids, place = np.unique(word_contexts.pair_ids(before, now, 4), return_inverse=True)
+    _, at, mine = word_contexts.grouped(now, ends)
+    ids, place, mine2 = word_contexts.grouped(word_contexts.pair_ids(before, now, 4), ends)
     c, pairs = np.bincount(at, own).astype(np.int64), np.bincount(place, own).astype(np.int64)
-    marks, left = made(now, c[at], pairs[place], place, (at, len(known), len(ids)), train.astype(np.int64), ends, int(train.sum()), int(own.sum()), np.zeros(len(now)))
+    marks, left = word_contexts.coded(c[at] - own * mine, pairs[place] - own * mine2, train.astype(np.int64), ends, int(train.sum()), int(own.sum()), np.zeros(len(now)))
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         seen.append((tuple((marks[a:b] % 3).tolist()), round(left[a:b].sum(), 6)))
     assert Counter(seen) == want
