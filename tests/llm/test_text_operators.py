@@ -344,7 +344,7 @@ def test_license_edges(odd, empty, docs):
     rows = [(1, "This is UNDER the MIT-License, under the mit license."), (2, "licensed under\nthe gnu general public license version 3"), (3, "version 3 license public general gnu the under licensed text"), (4, "cc-by-nc and apache license version 2"), (5, "under the KMIT license"), (6, "under the mit licenses")]
     got = {r.doc_id: r for r in license_scan.license_labels(docs(rows)).collect()}
     assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].score) == (2, 2, 6, "mit", 1.0)
-    assert got[2].labels == "" and got[3].labels == "gpl-3" and got[3].base_labels == "" and got[3].score == 1.0
+    assert got[2].labels == "gpl-3" and got[2].base_labels == "" and got[3].labels == "gpl-3" and got[3].base_labels == "" and got[3].score == 1.0
     assert got[4].labels == "apache-2,cc-by-nc" and got[4].n_base == 2
     assert got[5].base_labels == "" and got[6].base_labels == ""
 
@@ -360,14 +360,30 @@ def test_license_join_matches_all_pairs(docs):
         for _ in range(rnd.randint(0, 3)):
             t[rnd.randrange(len(t))] = rnd.choice(pool)
         rnd.shuffle(t)
-        rows.append((k, "zz\n" + " ".join(t)))
-    got = {(r._key, r._line, r.label, round(r.held, 9)) for r in license_scan.template_matches(docs(rows), F.col("doc_id"), containment=0.8).collect()}
+        wrap = [rnd.choice(" \n") if k % 2 else " " for _ in t]  # half of the texts are wrapped anywhere
+        rows.append((k, "zz\n" + "aa bb\n" * rnd.randint(0, 20) + "".join(w + x for w, x in zip(t, wrap, strict=True)) + "cc " * rnd.randint(0, 40)))
+    got = {(r._key, r._kind, r._block, r.label, round(r.held, 9)) for r in license_scan.template_matches(docs(rows), F.col("doc_id"), containment=0.8).collect()}
     want = {}
     for k, text in rows:
-        for line, block in enumerate(text.split("\n")):
+        ws = text.split()
+        blocks = {("line", i): x.split() for i, x in enumerate(text.split("\n"))}
+        blocks |= {("window", i): ws[16 * i : 16 * i + 32] for i in range(max(1, -(-len(ws) // 16) - 1))}
+        for place, block in blocks.items():
             for t, label in license_scan.TEMPLATES.items():
                 s = set(t.split())
-                held = len(s & set(block.split()))
+                held = len(s & set(block))
                 if held >= math.ceil(0.8 * len(s) - 1e-9):
-                    want[k, line, label] = max(want.get((k, line, label), 0), round(held / len(s), 9))
+                    want[k, *place, label] = max(want.get((k, *place, label), 0), round(held / len(s), 9))
     assert got == {(*k, v) for k, v in want.items()}
+    assert {k for k, *_ in want if k % 2} and {kind for _, kind, *_ in want} == {"line", "window"}
+
+
+def test_license_wrapped_anywhere(docs):
+    """A template's words are found wherever the text is wrapped, and however much stands before and after."""
+    rows, labels = [], {}
+    for k, (t, label) in enumerate(license_scan.TEMPLATES.items()):
+        for before in (0, 1, 15, 16, 17, 31, 33):
+            rows.append((len(rows), "zz " * before + "\n".join(t.split()) + " yy" * 40))
+            labels[len(rows) - 1] = label
+    got = {r.doc_id: r for r in license_scan.license_labels(docs(rows)).collect()}
+    assert all(label in got[i].labels.split(",") for i, label in labels.items()) and all(got[i].score == 1 for i in labels)

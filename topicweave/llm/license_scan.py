@@ -81,12 +81,48 @@ def phrase_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame
     return rows.withColumns({"n_words": F.col("_s.n"), "n_base": F.size(found).cast("long"), "first_word": F.array_min(at), "last_word": F.array_max(at), "_base": labels}).drop("_s")
 
 
+def span(templates: dict[str, str]) -> int:
+    """Words from one window's start to the next's, half a window: as many as the longest template has."""
+    return max(len(t.split()) for t in templates)
+
+
+def template_blocks(docs: DataFrame, key: Column, templates: dict[str, str], needs: list[tuple[list[str], int]]) -> DataFrame:
+    """_key, _kind, _block, _words (template words, distinct) for the blocks of texts that hold enough words of a template.
+
+    Blocks are the lines ("line"), and windows of 2 * span words of the text,
+    whatever its line breaks, one from every span-th word on ("window"). Any
+    run of as many words as the longest template has lies whole in a window.
+    """
+    known = F.array(*(F.lit(w) for w in sorted({w for s, _ in needs for w in s})))
+    step, least = span(templates), min(n for _, n in needs)
+    low = lowered(F.col("text"))
+
+    def enough(held: Column) -> Column:
+        out = F.lit(False)
+        for s, need in needs:
+            out |= F.size(F.array_intersect(held, F.array(*(F.lit(w) for w in s)))) >= need
+        return out
+
+    def block(kind: str, at: Column, ws: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.array_intersect(ws, known).alias("words"))
+
+    def windows(ws: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(ws) / step).cast("int") - 2, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: block("window", i, F.slice(ws, i * step + 1, 2 * step)))
+
+    lines = F.transform(F.split(low, "\n"), lambda line, i: block("line", i, F.split(line, BREAK)))
+    # no block holds more words than its text
+    some = docs.filter(let(F.array_intersect(words(low), known), enough))
+    every = F.filter(F.concat(lines, let(words(low), windows)), lambda b: F.size(b["words"]) >= least)
+    return some.select(key.alias("_key"), F.explode(every).alias("_b")).select("_key", F.col("_b.kind").alias("_kind"), F.col("_b.at").alias("_block"), F.col("_b.words").alias("_words"))
+
+
 def template_matches(docs: DataFrame, key: Column, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """_key, _line, label, held for every line and template of which the line holds at least ``containment``.
+    """_key, _kind, _block, label, held for every block and template of which the block holds at least ``containment``.
 
-    Words outside all templates cannot count, so a line is its set of template
-    words. These are ordered by the number of lines that hold them in the
-    whole table, the rarest first. A line can only match a template of which
+    Words outside all templates cannot count, so a block is its set of template
+    words. These are ordered by the number of blocks that hold them in the
+    whole table, the rarest first. A block can only match a template of which
     it has a word among the first n - need + 1 (prefix), if it has enough
     words (length), and if enough stand behind the meeting place on both sides
     (position). What passes is counted in full.
@@ -94,10 +130,7 @@ def template_matches(docs: DataFrame, key: Column, templates: dict[str, str] = T
     spark = docs.sparkSession
     sets = [(label, sorted(set(t.split()))) for t, label in templates.items()]
     vocabulary = sorted({w for _, s in sets for w in s})
-    least = min(math.ceil(containment * len(s) - 1e-9) for _, s in sets)
-    known = F.array(*(F.lit(w) for w in vocabulary))
-    lines = docs.select(key.alias("_key"), F.posexplode(F.split(lowered(F.col("text")), "\n")).alias("_line", "_text"))
-    blocks = lines.select("_key", "_line", F.array_intersect(F.split("_text", BREAK), known).alias("_words")).filter(F.size("_words") >= least)
+    blocks = template_blocks(docs, key, templates, [(s, math.ceil(containment * len(s) - 1e-9)) for _, s in sets])
     counted = {r["w"]: r["n"] for r in blocks.select(F.explode("_words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row for each template word
     order = sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
@@ -109,17 +142,18 @@ def template_matches(docs: DataFrame, key: Column, templates: dict[str, str] = T
     ranks = F.create_map(*(F.lit(x) for w in order for x in (w, rank[w])))
     sorted_blocks = blocks.withColumn("_set", F.sort_array(F.transform("_words", lambda w: F.element_at(ranks, w)))).drop("_words")
     shortest = F.lit(min(r[3] for r in rows))
-    tokens = sorted_blocks.select("_key", "_line", "_set", F.posexplode(F.slice("_set", 1, F.size("_set") - shortest + 1)).alias("_place", "_token"))
+    tokens = sorted_blocks.select("_key", "_kind", "_block", "_set", F.posexplode(F.slice("_set", 1, F.size("_set") - shortest + 1)).alias("_place", "_token"))
     size = F.size("_set")
     met = tokens.join(index, "_token").filter((size >= F.col("_need")) & (1 + F.least(F.col("_size") - F.col("_at") - 1, size - F.col("_place") - 1) >= F.col("_need")))
     met = met.withColumn("_held", F.size(F.array_intersect("_set", "_tokens"))).filter("_held >= _need")
-    return met.groupBy("_key", "_line", "label").agg(F.max(F.col("_held") / F.col("_size")).alias("held"))
+    return met.groupBy("_key", "_kind", "_block", "label").agg(F.max(F.col("_held") / F.col("_size")).alias("held"))
 
 
 def license_labels(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of ``docs``.
 
-    Blocks are lines. score is 1 for a text with a phrase, else the largest
+    Blocks are lines, and overlapping windows of words, so that a license may
+    be wrapped over lines. score is 1 for a text with a phrase, else the largest
     containment found, else 0. Null texts count as empty: no words, no labels.
     Rows that share doc_id and text have the same labels; an empty table gives
     no rows; other columns are not read.
@@ -137,6 +171,7 @@ def license_labels(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
+    step = span(TEMPLATES)
     phrases = ", ".join(f"('{label}', {p.split()!r})" for p, label in PHRASES.items())
     templates = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))!r})" for i, (t, label) in enumerate(TEMPLATES.items()))
     return rf"""
@@ -152,10 +187,14 @@ starts AS (
 base AS (
   SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, list_sort(list_distinct(list(label))) AS labels FROM starts GROUP BY doc_id),
 templates(id, label, parts) AS (VALUES {templates}),
-lines AS (SELECT doc_id, list_distinct(regexp_split_to_array(l, '{BREAK}')) AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM low)),
+blocks AS (
+  SELECT doc_id, list_distinct(regexp_split_to_array(l, '{BREAK}')) AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM low)
+  UNION ALL
+  SELECT doc_id, list_distinct(ws[i * {step} + 1:(i + 2) * {step}]) FROM (
+    SELECT doc_id, ws, unnest(range(0, greatest(ceil(len(ws) / {step})::bigint - 1, 1))) AS i FROM t)),
 held AS (
   SELECT doc_id, label, len(list_intersect(ws, parts)) AS h, len(parts) AS size
-  FROM lines, templates WHERE len(list_intersect(ws, parts)) >= ceil({CONTAINMENT}::double * len(parts) - 1e-9)),
+  FROM blocks, templates WHERE len(list_intersect(ws, parts)) >= ceil({CONTAINMENT}::double * len(parts) - 1e-9)),
 more AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(h::double / size) AS held FROM held GROUP BY doc_id)
 SELECT t.doc_id, len(ws)::bigint AS n_words, coalesce(n, 0)::bigint AS n_base, a::bigint AS first_word, b::bigint AS last_word,
        coalesce(array_to_string(base.labels, ','), '') AS base_labels,
