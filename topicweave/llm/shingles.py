@@ -72,18 +72,24 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
-def slices(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Parts of a frame with texts of a bounded size together, but for a text that is longer by itself."""
-    sizes, k = part["text"].str.len().to_numpy(), 0
-    while k < len(part):
+def cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of a bounded size together, but for a text that is longer by itself."""
+    k = 0
+    while k < len(sizes):
         n, size = k, 0
-        while n < len(part) and (n == k or size + sizes[n] <= BATCH_BYTES):
+        while n < len(sizes) and (n == k or size + sizes[n] <= BATCH_BYTES):
             size += sizes[n]
             n += 1
-        yield part.iloc[k:n]
+        yield k, n
         k = n
 
 
+def slices(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Parts of a frame by ``cuts`` of its texts."""
+    for a, b in cuts(part["text"].str.len().to_numpy()):
+        yield part.iloc[a:b]
+
+
 def per_text(function: np.ufunc, values: np.ndarray, bounds: np.ndarray, empty) -> np.ndarray:
     """``function`` over the values of each text; ``empty`` for a text without any."""
     out = np.full(len(bounds) - 1, empty, values.dtype)
