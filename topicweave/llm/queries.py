@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, quality_rules, sharding, url_filters
+from . import embedding_dedup, exact_dedup, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, prefix_trie, quality_rules, sharding, url_filters, vector_codes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +54,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source", "copies")
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("label")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_sharding, op3_language_id, op4_quality_rules, op5_url_filters, op6_lm_scoring, op7_exact_dedup, op8_packing, op9_license_scan, op10_mixing)
+    for f in (
+        op1_near_dedup, op2_sharding, op3_language_id, op4_quality_rules, op5_url_filters, op6_lm_scoring, op7_exact_dedup, op8_packing, op9_license_scan, op10_mixing,
+        op11_embedding_near_dedup, op12_conversation_trie, op13_vector_codes,
+    )
 }
 
 ORACLE_SQL = {
@@ -64,4 +79,6 @@ ORACLE_SQL = {
     "op5_url_filters": url_filters.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op9_license_scan": license_scan.SQL,
+    "op12_conversation_trie": prefix_trie.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
