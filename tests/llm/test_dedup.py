@@ -55,6 +55,18 @@ def test_exact(docs, odd, empty, digest):
     assert exact_dedup.exact_duplicates(empty, digest=digest).count() == 0
 
 
+def test_exact_rows_of_hot_texts(docs, monkeypatch):
+    """Texts of many copies take another way to their winner, broadcast or salted, with the same rows."""
+    from topicweave.llm import lookups
+
+    rows = [(k, "hot" if k % 3 else f"text {k % 50}") for k in range(400)] + [(None, "hot"), (7, "hot")]
+    for large, most in ((5, 100), (5, 0), (1000, 100), (1, 0)):
+        monkeypatch.setattr(exact_dedup.with_winners, "__defaults__", (large,))
+        monkeypatch.setattr(lookups.look_up, "__defaults__", (most, 4))
+        got = exact_dedup.exact_duplicates(docs(rows))
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got.collect()), key=str) == exact(rows)
+
+
 def test_exact_keep_one(docs, empty):
     rows = [(1, "a", "en", "s"), (3, "a", "fr", "t"), (2, None), (4, ""), (5, "b")]
     kept = exact_dedup.keep_one(docs(rows))

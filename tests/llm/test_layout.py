@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from topicweave.llm import mixing, packing, sharding
 
@@ -86,6 +87,18 @@ def test_mix_edges(odd, empty, docs):
     assert {r.doc_id: r["count"] for r in have} == {i: c for i, c in want.items() if c} and out.columns == docs(rows).columns
 
 
+def test_mixed_rows_that_repeat_share_their_copies(docs):
+    """Equal rows are taken as often as the mix takes them in all."""
+    rows = [(5, "one two three", None, "a")] * 200 + [(k, "w " * (k % 9), None, "b" if k % 3 else "c") for k in range(10, 300)] + [(6, "four five six", None, "a")] * 3
+    table = docs(rows)
+    taken = {r.source: r.t for r in mixing.mix(table).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    got = {r.source: r.t for r in mixing.mixed(table).groupBy("source").agg(F.sum(words).alias("t")).collect()}
+    assert got == taken
+    target = mixing.mix(table).filter("source = 'a'").first().target
+    assert abs(got["a"] - target) <= 3
+
+
 @pytest.mark.parametrize(("step", "frac"), [(mixing.pivot, [0.37] * 7), (mixing.pair, [0.4, 0.1, 0.7, 0.5, 0.2, 0.9, 0.6])], ids=["pool", "pairs"])
 def test_rounding_keeps_mass_and_expectations(step, frac):
     rng = np.random.default_rng(2)

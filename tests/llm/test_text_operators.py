@@ -341,12 +341,13 @@ def test_license_edges(odd, empty, docs):
     assert license_scan.license_labels(empty).count() == 0
     got = license_scan.license_labels(odd).collect()
     assert len(got) == 10 and {r.labels for r in got} == {""} and all(r.first_word is None for r in got)
-    rows = [(1, "This is UNDER the MIT-License, under the mit license."), (2, "licensed under\nthe gnu general public license version 3"), (3, "version 3 license public general gnu the under licensed text"), (4, "cc-by-nc and apache license version 2"), (5, "under the KMIT license"), (6, "under the mit licenses")]
+    rows = [(1, "This is UNDER the MIT-License, under the mit license."), (2, "This work is licensed under\nthe GNU General Public License, version 3."), (3, "version 3 license public general gnu the under licensed is work this text"), (7, "this work is licensed under the gnu general public license version"), (8, "the public license under which mit is licensed"), (4, "cc-by-nc and apache license version 2"), (5, "under the KMIT license"), (6, "under the mit licenses")]
     got = {r.doc_id: r for r in license_scan.license_labels(docs(rows)).collect()}
     assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].score) == (2, 2, 6, "mit", 1.0)
     assert got[2].labels == "gpl-3" and got[2].base_labels == "" and got[3].labels == "gpl-3" and got[3].base_labels == "" and got[3].score == 1.0
     assert got[4].labels == "apache-2,cc-by-nc" and got[4].n_base == 2
     assert got[5].base_labels == "" and got[6].base_labels == ""
+    assert got[7].labels == "" and got[8].labels == ""  # no version, so neither; words of a phrase are no phrase
 
 
 def test_license_join_matches_all_pairs(docs):
@@ -366,24 +367,51 @@ def test_license_join_matches_all_pairs(docs):
     want = {}
     for k, text in rows:
         ws = text.split()
-        blocks = {("line", i): x.split() for i, x in enumerate(text.split("\n"))}
-        blocks |= {("window", i): ws[16 * i : 16 * i + 32] for i in range(max(1, -(-len(ws) // 16) - 1))}
-        for place, block in blocks.items():
-            for t, label in license_scan.TEMPLATES.items():
-                s = set(t.split())
-                held = len(s & set(block))
-                if held >= math.ceil(0.8 * len(s) - 1e-9):
-                    want[k, *place, label] = max(want.get((k, *place, label), 0), round(held / len(s), 9))
+        for t, label in license_scan.TEMPLATES.items():
+            half = next(h for h in license_scan.HALVES if h >= len(t.split()))
+            s, telling = set(t.split()), license_scan.TELLING.get(label)
+            for i in range(max(1, -(-len(ws) // half) - 1)):
+                block = set(ws[half * i : half * i + 2 * half])
+                held = len(s & block)
+                if held >= math.ceil(0.8 * len(s) - 1e-9) and (telling is None or telling not in s or telling in block):
+                    want[k, half, i, label] = max(want.get((k, half, i, label), 0), round(held / len(s), 9))
     assert got == {(*k, v) for k, v in want.items()}
-    assert {k for k, *_ in want if k % 2} and {kind for _, kind, *_ in want} == {"line", "window"}
+    assert {k for k, *_ in want if k % 2} and {kind for _, kind, *_ in want} == set(license_scan.HALVES)
+
+
+def test_strewn_license_words_are_no_license(docs):
+    """3,000 words on one line, with words of templates strewn among them, hold no license; the license itself does."""
+    import random
+
+    rnd = random.Random(5)
+    pool = sorted({w for t in license_scan.TEMPLATES for w in t.split()})
+    line = [f"w{rnd.randrange(500)}" for _ in range(3000)]
+    for at, w in zip(rnd.sample(range(3000), len(pool)), pool, strict=True):
+        line[at] = w
+    mit = next(iter(license_scan.TEMPLATES))
+    rows = [(1, " ".join(line)), (2, " ".join(line) + "\n" + mit), (3, " ".join([*line[:1500], *mit.split()[:-3], *line[1500:]]))]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_labels(docs(rows)).collect()}
+    assert got[1] == ("", 0.0) and got[2] == ("mit", 1.0) and got[3][0] == "mit" and got[3][1] >= 0.9
 
 
 def test_license_wrapped_anywhere(docs):
     """A template's words are found wherever the text is wrapped, and however much stands before and after."""
     rows, labels = [], {}
     for k, (t, label) in enumerate(license_scan.TEMPLATES.items()):
-        for before in (0, 1, 15, 16, 17, 31, 33):
+        for before in (0, 1, 17, 100, 333):
             rows.append((len(rows), "zz " * before + "\n".join(t.split()) + " yy" * 40))
             labels[len(rows) - 1] = label
     got = {r.doc_id: r for r in license_scan.license_labels(docs(rows)).collect()}
     assert all(label in got[i].labels.split(",") for i, label in labels.items()) and all(got[i].score == 1 for i in labels)
+
+
+def test_lm_chunks_of_any_frame(spark, docs, tmp_path):
+    """Joined, shuffled and united frames of several files score as the table itself, in more than one chunk."""
+    rows = [(k, f"a small text of number {k % 7} and word {k * k}") for k in range(60)]
+    docs(rows).repartition(4).write.parquet(f"file://{tmp_path}/d")
+    table = spark.read.parquet(f"file://{tmp_path}/d")
+    assert lm_scoring.read_only(table) and lm_scoring.read_only(table.select("doc_id", "text").filter("doc_id >= 0"))
+    want = {r.doc_id: r.score for r in lm_scoring.score(table).collect()}
+    for other in (table.join(table.select("doc_id").distinct(), "doc_id"), table.repartition(3), table.dropDuplicates(["doc_id"]), table.filter("doc_id < 30").unionByName(table.filter("doc_id >= 30"))):
+        assert not lm_scoring.read_only(other)
+        assert {r.doc_id: r.score for r in lm_scoring.score(other).collect()} == pytest.approx(want)

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from ..plans.durable import Scratch
+from .lookups import look_up
 
 #: Parts into which the copies of one text are dealt before their winners meet.
 SALTS = 16
+#: Copies from which a text's rows get their winner by look_up; fewer meet by their digest.
+LARGE = 1000
 
 
 def sha256(text: Column) -> Column:
@@ -42,6 +45,21 @@ def combine(rows: DataFrame, salts: int = SALTS, payload: list[str] | None = Non
     return salted.groupBy("_digest", "_text").agg(again.alias("_best"), F.sum("_n").alias("_n"))
 
 
+def with_winners(slim: DataFrame, winners: DataFrame, large: int = LARGE) -> DataFrame:
+    """doc_id, text_sha256, keep_id, group_size. Rows of a text with many copies do not meet in one task.
+
+    There are no more texts of ``large`` copies than rows over ``large``.
+    These are looked up; their rows then go by a key of their own through the
+    join of all others.
+    """
+    many = winners.filter(F.col("group_size") >= large).select("_digest", F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
+    few = winners.filter(F.col("group_size") < large).withColumnRenamed("_digest", "_key")
+    own = F.concat("_digest", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = look_up(slim, many, "_digest").withColumn("_key", F.when(F.col("_size").isNull(), F.col("_digest")).otherwise(F.concat(own, F.lit("+").cast("binary"))))
+    met = rows.join(few, "_key", "left")
+    return met.select("doc_id", "text_sha256", F.when(F.col("_size").isNull(), F.col("keep_id")).otherwise(F.col("_keep")).alias("keep_id"), F.coalesce("_size", "group_size").alias("group_size"))
+
+
 def exact_duplicates(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs``.
 
@@ -53,17 +71,18 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS, digest: Callable[[Colu
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_digest", digest(F.col("_text")))
+    hexadecimal = F.lower(F.hex("_digest")) if digest is sha256 else F.sha2("_text", 256)
     winners = scratch.keep(combine(rows, salts).select("_digest", F.col("_best.doc_id").alias("keep_id"), F.col("_n").alias("group_size")))
-    slim = rows.select("doc_id", "_digest", F.sha2("_text", 256).alias("text_sha256"))
+    slim = rows.select("doc_id", "_digest", hexadecimal.alias("text_sha256"))
     collided = winners.groupBy("_digest").agg(F.count("*").alias("_texts")).filter("_texts > 1").select("_digest")
     if collided.isEmpty():
-        out = slim.join(winners, "_digest")
+        out = with_winners(slim, winners)
     else:  # unequal contents share a digest: those groups are told apart by their text again
         clash = scratch.keep(collided)
         texts = rows.join(clash, "_digest", "left_semi")
         mark = combine(texts, salts).select("_digest", "_text", F.col("_best.doc_id").alias("keep_id"), F.col("_n").alias("group_size"))
-        told = texts.join(mark, ["_digest", "_text"]).select("_digest", "doc_id", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size")
-        out = slim.join(clash, "_digest", "left_anti").join(winners, "_digest").unionByName(told)
+        told = texts.join(mark, ["_digest", "_text"]).select("doc_id", hexadecimal.alias("text_sha256"), "keep_id", "group_size")
+        out = with_winners(slim.join(clash, "_digest", "left_anti"), winners).unionByName(told)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

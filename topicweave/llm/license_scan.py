@@ -16,21 +16,57 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Templates, with their labels: a block that holds enough of one's words has its label.
+#: License texts and notices without their copyright lines, with their labels. A block that holds enough of one's words has its label.
 TEMPLATES = {
-    "licensed under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
-    "licensed under the apache license version 2 0": "apache-2",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "licensed under the gnu general public license version 3": "gpl-3",
-    "licensed under the gnu general public license version 2": "gpl-2",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "subject to the terms of the mozilla public license v 2 0": "mpl-2",
-    "permission to use copy modify and or distribute this software for any purpose is hereby granted": "isc",
-    "this is free and unencumbered software released into the public domain": "unlicense",
+    """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation
+    files the software to deal in the software without restriction including without limitation the rights to use copy modify
+    merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is
+    furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be
+    included in all copies or substantial portions of the software the software is provided as is without warranty of any kind
+    express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and
+    noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability
+    whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or
+    other dealings in the software""": "mit",
+    """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+    provided that the above copyright notice and this permission notice appear in all copies the software is provided as is
+    and the author disclaims all warranties with regard to this software including all implied warranties of merchantability
+    and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages
+    whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action
+    arising out of or in connection with the use or performance of this software""": "isc",
+    """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+    conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the
+    following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and
+    the following disclaimer in the documentation and or other materials provided with the distribution this software is
+    provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to
+    the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the
+    copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages
+    including but not limited to procurement of substitute goods or services loss of use data or profits or business
+    interruption however caused and on any theory of liability whether in contract strict liability or tort including
+    negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such
+    damage""": "bsd",
+    """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile
+    sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or
+    non commercial and by any means""": "unlicense",
+    """this software is provided as is without any express or implied warranty in no event will the authors be held liable for
+    any damages arising from the use of this software permission is granted to anyone to use this software for any purpose
+    including commercial applications and to alter it and redistribute it freely""": "zlib",
+    """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+    you may obtain a copy of the license at http www apache org licenses license 2 0""": "apache-2",
+    """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
+    as published by the free software foundation either version 3 of the license or at your option any later version""": "gpl-3",
+    """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
+    as published by the free software foundation either version 2 of the license or at your option any later version""": "gpl-2",
+    """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed
+    with this file you can obtain one at""": "mpl-2",
+    "this work is licensed under the gnu general public license version 3": "gpl-3",
+    "this work is licensed under the gnu general public license version 2": "gpl-2",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
 }
-#: Share of a template's distinct words that a block must hold.
+#: Words of the windows in which templates are sought, half a window each: a template is sought in the shortest whose half holds all of it.
+HALVES = (16, 48, 128, 256)
+#: Share of a template's distinct words that a block must hold, and words that must be among them whatever the share: two versions differ by one.
 CONTAINMENT = 0.9
+TELLING = {"gpl-3": "3", "gpl-2": "2"}
 #: Everything of ASCII but letters and digits; capitals are lowered before.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -81,40 +117,47 @@ def phrase_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame
     return rows.withColumns({"n_words": F.col("_s.n"), "n_base": F.size(found).cast("long"), "first_word": F.array_min(at), "last_word": F.array_max(at), "_base": labels}).drop("_s")
 
 
-def span(templates: dict[str, str]) -> int:
-    """Words from one window's start to the next's, half a window: as many as the longest template has."""
-    return max(len(t.split()) for t in templates)
+def half_window(template: str) -> int:
+    """The half of the windows in which the template is sought."""
+    return next(h for h in HALVES if h >= len(template.split()))
 
 
-def template_blocks(docs: DataFrame, key: Column, templates: dict[str, str], needs: list[tuple[list[str], int]]) -> DataFrame:
+def need_of(words: list[str], containment: float) -> int:
+    return math.ceil(containment * len(words) - 1e-9)
+
+
+def template_blocks(docs: DataFrame, key: Column, sets: list[tuple[str, list[str], int]], containment: float) -> DataFrame:
     """_key, _kind, _block, _words (template words, distinct) for the blocks of texts that hold enough words of a template.
 
-    Blocks are the lines ("line"), and windows of 2 * span words of the text,
-    whatever its line breaks, one from every span-th word on ("window"). Any
-    run of as many words as the longest template has lies whole in a window.
+    Blocks are windows of the text, whatever its line breaks: for each kind of
+    half window, twice as many words, one from every half on. Any run of as
+    many words as a template has lies whole in a window of its kind, and no
+    block is longer than a window.
     """
-    known = F.array(*(F.lit(w) for w in sorted({w for s, _ in needs for w in s})))
-    step, least = span(templates), min(n for _, n in needs)
     low = lowered(F.col("text"))
+    known = F.array(*(F.lit(w) for w in sorted({w for _, s, _ in sets for w in s})))
 
     def enough(held: Column) -> Column:
         out = F.lit(False)
-        for s, need in needs:
-            out |= F.size(F.array_intersect(held, F.array(*(F.lit(w) for w in s)))) >= need
+        for _, s, _ in sets:
+            out |= F.size(F.array_intersect(held, F.array(*(F.lit(w) for w in s)))) >= need_of(s, containment)
         return out
 
-    def block(kind: str, at: Column, ws: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.array_intersect(ws, known).alias("words"))
+    def of_kind(ws: Column, half: int) -> Column:
+        some = [s for _, s, h in sets if h == half]
+        known = F.array(*(F.lit(w) for w in sorted({w for s in some for w in s})))
+        least = min(need_of(s, containment) for s in some)
+        last = F.greatest(F.ceil(F.size(ws) / half).cast("int") - 2, F.lit(0))
+        held = lambda i: F.array_intersect(F.slice(ws, i * half + 1, 2 * half), known)
+        block = lambda i: F.struct(F.lit(half).alias("kind"), i.alias("at"), held(i).alias("words"))
+        return F.filter(F.transform(F.sequence(F.lit(0), last), block), lambda b: F.size(b["words"]) >= least)
 
     def windows(ws: Column) -> Column:
-        last = F.greatest(F.ceil(F.size(ws) / step).cast("int") - 2, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: block("window", i, F.slice(ws, i * step + 1, 2 * step)))
+        return F.concat(*(of_kind(ws, half) for half in sorted({h for *_, h in sets})))
 
-    lines = F.transform(F.split(low, "\n"), lambda line, i: block("line", i, F.split(line, BREAK)))
     # no block holds more words than its text
     some = docs.filter(let(F.array_intersect(words(low), known), enough))
-    every = F.filter(F.concat(lines, let(words(low), windows)), lambda b: F.size(b["words"]) >= least)
-    return some.select(key.alias("_key"), F.explode(every).alias("_b")).select("_key", F.col("_b.kind").alias("_kind"), F.col("_b.at").alias("_block"), F.col("_b.words").alias("_words"))
+    return some.select(key.alias("_key"), F.explode(let(words(low), windows)).alias("_b")).select("_key", F.col("_b.kind").alias("_kind"), F.col("_b.at").alias("_block"), F.col("_b.words").alias("_words"))
 
 
 def template_matches(docs: DataFrame, key: Column, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -128,32 +171,35 @@ def template_matches(docs: DataFrame, key: Column, templates: dict[str, str] = T
     (position). What passes is counted in full.
     """
     spark = docs.sparkSession
-    sets = [(label, sorted(set(t.split()))) for t, label in templates.items()]
-    vocabulary = sorted({w for _, s in sets for w in s})
-    blocks = template_blocks(docs, key, templates, [(s, math.ceil(containment * len(s) - 1e-9)) for _, s in sets])
+    sets = [(label, sorted(set(t.split())), half_window(t)) for t, label in templates.items()]
+    vocabulary = sorted({w for _, s, _ in sets for w in s})
+    blocks = template_blocks(docs, key, sets, containment)
     counted = {r["w"]: r["n"] for r in blocks.select(F.explode("_words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row for each template word
     order = sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     rows = []
-    for i, (label, s) in enumerate(sets):
-        tokens, need = sorted(rank[w] for w in s), math.ceil(containment * len(s) - 1e-9)
-        rows += [(i, label, len(s), need, tokens, t, p) for p, t in enumerate(tokens[: len(s) - need + 1])]
-    index = F.broadcast(spark.createDataFrame(rows, "_template int, label string, _size int, _need int, _tokens array<int>, _token int, _at int"))
+    for i, (label, s, half) in enumerate(sets):
+        tokens, need = sorted(rank[w] for w in s), need_of(s, containment)
+        telling = rank[TELLING[label]] if TELLING.get(label) in s else None
+        rows += [(i, half, label, len(s), need, tokens, telling, t, p) for p, t in enumerate(tokens[: len(s) - need + 1])]
+    index = F.broadcast(spark.createDataFrame(rows, "_template int, _kind int, label string, _size int, _need int, _tokens array<int>, _telling int, _token int, _at int"))
     ranks = F.create_map(*(F.lit(x) for w in order for x in (w, rank[w])))
     sorted_blocks = blocks.withColumn("_set", F.sort_array(F.transform("_words", lambda w: F.element_at(ranks, w)))).drop("_words")
-    shortest = F.lit(min(r[3] for r in rows))
+    shortest = F.lit(min(r[4] for r in rows))
     tokens = sorted_blocks.select("_key", "_kind", "_block", "_set", F.posexplode(F.slice("_set", 1, F.size("_set") - shortest + 1)).alias("_place", "_token"))
     size = F.size("_set")
-    met = tokens.join(index, "_token").filter((size >= F.col("_need")) & (1 + F.least(F.col("_size") - F.col("_at") - 1, size - F.col("_place") - 1) >= F.col("_need")))
-    met = met.withColumn("_held", F.size(F.array_intersect("_set", "_tokens"))).filter("_held >= _need")
+    met = tokens.join(index, ["_kind", "_token"]).filter((size >= F.col("_need")) & (1 + F.least(F.col("_size") - F.col("_at") - 1, size - F.col("_place") - 1) >= F.col("_need")))
+    met = met.withColumn("_held", F.size(F.array_intersect("_set", "_tokens"))).filter("_held >= _need and (_telling is null or array_contains(_set, _telling))")
     return met.groupBy("_key", "_kind", "_block", "label").agg(F.max(F.col("_held") / F.col("_size")).alias("held"))
 
 
 def license_labels(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of ``docs``.
 
-    Blocks are lines, and overlapping windows of words, so that a license may
-    be wrapped over lines. score is 1 for a text with a phrase, else the largest
+    Blocks are overlapping windows of words, at most four times as long as the
+    template that is sought in them (32 words for short ones), so that a
+    license may be wrapped over lines, and words of one that are strewn over a
+    text are none. score is 1 for a text with a phrase, else the largest
     containment found, else 0. Null texts count as empty: no words, no labels.
     Rows that share doc_id and text have the same labels; an empty table gives
     no rows; other columns are not read.
@@ -171,9 +217,8 @@ def license_labels(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    step = span(TEMPLATES)
     phrases = ", ".join(f"('{label}', {p.split()!r})" for p, label in PHRASES.items())
-    templates = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))!r})" for i, (t, label) in enumerate(TEMPLATES.items()))
+    templates = ", ".join(f"({half_window(t)}, '{label}', {sorted(set(t.split()))!r}, {TELLING.get(label, '')!r})" for t, label in TEMPLATES.items())
     return rf"""
 WITH low AS (
   SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS text FROM documents),
@@ -186,15 +231,13 @@ starts AS (
   WHERE ws[i + 1:i + len(parts)] = parts),
 base AS (
   SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, list_sort(list_distinct(list(label))) AS labels FROM starts GROUP BY doc_id),
-templates(id, label, parts) AS (VALUES {templates}),
+templates(half, label, parts, telling) AS (VALUES {templates}),
 blocks AS (
-  SELECT doc_id, list_distinct(regexp_split_to_array(l, '{BREAK}')) AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM low)
-  UNION ALL
-  SELECT doc_id, list_distinct(ws[i * {step} + 1:(i + 2) * {step}]) FROM (
-    SELECT doc_id, ws, unnest(range(0, greatest(ceil(len(ws) / {step})::bigint - 1, 1))) AS i FROM t)),
+  SELECT doc_id, half, list_distinct(ws[i * half + 1:(i + 2) * half]) AS ws FROM (
+    SELECT doc_id, ws, half, unnest(range(0, greatest(ceil(len(ws) / half)::bigint - 1, 1))) AS i FROM t, (VALUES {", ".join(f"({h})" for h in sorted(set(map(half_window, TEMPLATES))))}) h(half))),
 held AS (
   SELECT doc_id, label, len(list_intersect(ws, parts)) AS h, len(parts) AS size
-  FROM blocks, templates WHERE len(list_intersect(ws, parts)) >= ceil({CONTAINMENT}::double * len(parts) - 1e-9)),
+  FROM blocks JOIN templates USING (half) WHERE len(list_intersect(ws, parts)) >= ceil({CONTAINMENT}::double * len(parts) - 1e-9) AND (telling = '' OR NOT list_contains(parts, telling) OR list_contains(ws, telling))),
 more AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(h::double / size) AS held FROM held GROUP BY doc_id)
 SELECT t.doc_id, len(ws)::bigint AS n_words, coalesce(n, 0)::bigint AS n_base, a::bigint AS first_word, b::bigint AS last_word,
        coalesce(array_to_string(base.labels, ','), '') AS base_labels,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import Scratch
 from ..plans.ranking import global_rank
+from .scans import segment_scan
 from .words import word_count
 
 #: Weights that the sources take in turn; how often a text may be repeated; rows of a leaf and children of a node of the reduction tree.
@@ -167,10 +168,20 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as ``mix`` copies it; its columns are unchanged.
 
     Rows are told apart by doc_id, source and size. Rows that share all three
-    are each taken as often as the mean of their copy numbers, rounded up.
+    share their copies: of m such rows with c copies the k-th, by a hash of its
+    text, is taken floor(k c / m) - floor((k - 1) c / m) times, c in all.
     """
+    scratch = Scratch(docs.sparkSession, "mixed")
     chosen = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-    chosen = chosen.agg(F.ceil(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
-    rows = docs.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), word_count(F.col("text")).alias("_n"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"))
+    chosen = chosen.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("source").cast("string").alias("_s"), word_count(F.col("text")).alias("_n"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"))
     same = F.col("_d").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    return rows.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    met = rows.join(chosen, same)
+    out = met.filter("_rows = 1").select("_row", "_copies")
+    several = chosen.filter("_rows > 1")
+    if not several.isEmpty():
+        keys = {"_a": F.xxhash64("_d", "_s", "_n"), "_b": F.xxhash64(F.lit(1), "_d", "_s", "_n"), "_text": F.xxhash64("_row.text"), "_place": F.lit(1).cast("long")}
+        placed = segment_scan(rows.join(several, same).select("_row", "_copies", "_rows", *(c.alias(name) for name, c in keys.items())), ["_a", "_b"], ["_text"], scratch, add=("_place",))
+        share = lambda k: F.floor(k * F.col("_copies") / F.col("_rows"))
+        out = out.unionByName(placed.select("_row", (share(F.col("_place")) - share(F.col("_place") - 1)).alias("_copies")).filter("_copies > 0"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
