@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stirling import log_stirling_of
+
 
 def histogram(table: DataFrame, *columns: str) -> np.ndarray:
     """Distinct values of whole columns with their number of rows; as many rows as there are distinct counts."""
@@ -70,3 +72,32 @@ def discount(cells: np.ndarray, tables: np.ndarray, b: float, log_stirling: Call
         return seats + sum(m * t * math.log(a) for t, m in tables) + g_sum(tables, b / a)
 
     return f
+
+
+def rising(hist: np.ndarray, b: float, a: float) -> float:
+    """sum of m * ln(b (b + a) ... (b + (t - 1) a)) over (t, m)."""
+    if a == 0:
+        return sum(m * t * math.log(b) for t, m in hist)
+    return sum(m * t * math.log(a) for t, m in hist) + g_sum(hist, b / a)
+
+
+def seated_discount(cells: np.ndarray, tables: np.ndarray, b: float) -> Callable[[float], float]:
+    """The log density of a, of the joint histogram of customers and tables (n, t, m) and that of tables by group."""
+    return lambda a: float((cells[:, 2] * log_stirling_of(cells[:, 0], cells[:, 1], a)).sum()) + rising(tables, b, a)
+
+
+def root_concentration(root: np.ndarray, kind: str, a0: float, size: int) -> Callable[[float], float]:
+    """The log density of b0, of a histogram of the tables of each dish: Dirichlet with even weights (hdp), or sticks (hpdd)."""
+    used, total = root[:, 1].sum(), float((root[:, 0] * root[:, 1]).sum())
+
+    def f(b0: float) -> float:
+        up = g_sum(root, b0 / size) if kind == "hdp" else rising(np.array([(used, 1.0)]), b0, a0)
+        return up - g_sum(np.array([(total, 1.0)]), b0) + log_gamma_prior(b0, 1.1, 100.0)
+
+    return f
+
+
+def root_discount(root: np.ndarray, b0: float) -> Callable[[float], float]:
+    """The log density of a0 of a root of sticks."""
+    used = np.array([(root[:, 1].sum(), 1.0)])
+    return lambda a0: rising(used, b0, a0) + g_sum(np.column_stack([root[:, 0] - 1, root[:, 1]]), 1 - a0)

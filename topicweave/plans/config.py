@@ -60,7 +60,7 @@ class ModelConfig:
             raise ValueError("burst_b must be positive and burst_a in [0, 1)")
         if self.epochs > 1 and (self.alpha.kind == "ng" or self.burst_b is not None):
             raise ValueError("the epoch model has neither ng documents nor burstiness")
-        if unknown := set(self.sample) - {"alpha", "beta", "b", "bw", "a", "aw"}:
+        if unknown := set(self.sample) - {"alpha", "beta", "b", "bw", "a", "aw", "b0", "bw0", "a0", "aw0"}:
             raise ValueError(f"cannot sample {sorted(unknown)}")
         if ("alpha" in self.sample and self.alpha.kind != "dir") or ("beta" in self.sample and self.beta.kind != "dir"):
             raise ValueError("a Dirichlet weight is sampled only where the side is Dirichlet")
