@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import Scratch, shuffle_width
@@ -149,7 +150,9 @@ def candidates(reps: DataFrame, trees: range, best: bool, scratch: Scratch) -> D
             return near(part, fresh if fresh else len(part), best)
 
         pairs = pairs.unionByName(edges.groupBy("bound").applyInPandas(across, "a long, b long, agree int"))
-    return scratch.keep(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    out = scratch.keep(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    scratch.drop(found)
+    return out
 
 
 def most_alike(pairs: DataFrame) -> DataFrame:
@@ -211,9 +214,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         labels = new.select("node", "label")
         labels._scratch_path = new._scratch_path
         if not changed:
+            scratch.drop(edges)
             return labels
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what is written and no longer read, which else stay until the driver's memory runs short."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -231,23 +241,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     not read.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    table = scratch.keep(signatures(docs))
-    alike = table.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signature", "sketch")).alias("r"))
+    full = scratch.keep(signatures(docs))
+    alike = full.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signature", "sketch")).alias("r"))
     reps = scratch.keep(alike.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.signature").alias("signature"), F.col("r.sketch").alias("sketch")))
+    table = scratch.keep(full.select("doc_id", "n_shingles", "digest"))
+    scratch.drop(full)
+    del full, alike
     labels, links, tried = None, [], []
     for k in range(0, TREES + 1, ROUND_TREES):
         last = k >= TREES
+        if last:  # signatures have done their part
+            signed, reps = reps, scratch.keep(reps.select("digest", "rep"))
+            scratch.drop(signed)
+            del signed
+        forget(docs.sparkSession)
         known = reps.withColumn("label", F.col("rep")) if labels is None else reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        pairs = like_pairs(docs, known, PERCENT, scratch) if last else most_alike(candidates(known, range(k, k + ROUND_TREES), True, scratch))
+        found = like_pairs(docs, known, PERCENT, scratch) if last else candidates(known, range(k, k + ROUND_TREES), True, scratch)
+        pairs = found if last else most_alike(found)
         if tried:
             pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
         tried.append(scratch.keep(pairs))
+        scratch.drop(found)
         sets = sets_of(tried[-1], docs, scratch)
         links.append(scratch.keep(confirm(tried[-1], sets)))
         scratch.drop(sets)
         if labels is None or not links[-1].isEmpty():
-            labels = components(reduce(DataFrame.unionByName, links), scratch)
-    scratch.drop(*tried)
+            before, labels = labels, components(reduce(DataFrame.unionByName, links), scratch)
+            if before is not None:
+                scratch.drop(before)
+            del before
+        del known, found, pairs, sets
+    scratch.drop(*tried, *links)
     classes = reps.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("_label"))
     # a row without shingles has no class; it goes by its own id, so that such rows are not one key
     rows = table.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).otherwise(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")).alias("digest"))
