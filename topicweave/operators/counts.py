@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from ..plans.durable import Scratch
+from ..plans.ranking import running_sum
 
 
 def word_topic(z: DataFrame) -> DataFrame:
@@ -55,13 +61,38 @@ def nonzero(wt: DataFrame, dt: DataFrame) -> DataFrame:
     return a.crossJoin(dt.filter("n > 0").agg(F.count("*").alias("doc_cells")))
 
 
+def pair_sums(table: DataFrame, key: str, value: str, measure: Callable[[np.ndarray], dict[str, np.ndarray]], topics: int) -> DataFrame:
+    """t1, t2 and what ``measure`` makes of rows by topics (topics x topics each), summed over all keys of ``table`` (key, topic, value).
+
+    The topics of a key are one row, and a task sums its rows, so that no pair of topics is a row before that.
+    """
+    rows = table.groupBy(key).agg(F.collect_list(F.struct(F.col("topic").cast("int").alias("topic"), F.col(value).cast("double").alias("v"))).alias("r")).select(F.transform("r", lambda x: x["topic"]).alias("at"), F.transform("r", lambda x: x["v"]).alias("v"))  # topics of one key
+    names = list(measure(np.zeros((0, topics))))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for part in parts:
+            full = np.zeros((len(part), topics))
+            lens = part["at"].map(len).to_numpy()
+            if lens.sum():
+                full[np.repeat(np.arange(len(part)), lens), np.concatenate(part["at"].to_list())] = np.concatenate(part["v"].to_list())
+            new = measure(full)
+            total = new if total is None else {k: total[k] + new[k] for k in names}
+        if total is not None:
+            i, j = np.indices((topics, topics)).reshape(2, -1)
+            yield pd.DataFrame({"t1": i, "t2": j} | {k: total[k].ravel() for k in names})
+
+    out = rows.mapInPandas(run, "t1 long, t2 long, " + ", ".join(f"{k} double" for k in names))
+    return out.groupBy("t1", "t2").agg(*(F.sum(k).alias(k) for k in names))
+
+
 def topic_correlation(dt: DataFrame, docs: int) -> DataFrame:
-    """t1, t2 < t1, cor: the mean over documents of the product of shares, over the product of their means."""
+    """t1, t2 < t1, cor: the mean over documents of the product of shares, over the product of their means; pairs that share a document."""
     p = doc_props(dt)
     mean = p.groupBy("topic").agg((F.sum("prop") / docs).alias("m"))
-    a, b = p.toDF("doc_id", "t1", "p1"), p.toDF("doc_id", "t2", "p2")
-    both = a.join(b, "doc_id").filter("t2 < t1").groupBy("t1", "t2").agg((F.sum(F.col("p1") * F.col("p2")) / docs).alias("pp"))
-    return both.join(mean.toDF("t1", "m1"), "t1").join(mean.toDF("t2", "m2"), "t2").select("t1", "t2", (F.col("pp") / (F.col("m1") * F.col("m2"))).alias("cor"))
+    topics = int(dt.agg(F.max("topic")).first()[0] or 0) + 1
+    sums = pair_sums(p, "doc_id", "prop", lambda x: {"pp": x.T @ x}, topics).filter("t2 < t1 and pp > 0").withColumn("pp", F.col("pp") / docs)
+    return sums.join(mean.toDF("t1", "m1"), "t1").join(mean.toDF("t2", "m2"), "t2").select("t1", "t2", (F.col("pp") / (F.col("m1") * F.col("m2"))).alias("cor"))
 
 
 def topic_by_class(z: DataFrame, classes: DataFrame) -> DataFrame:
@@ -121,12 +152,8 @@ def running_mean(mean: DataFrame, new: DataFrame, saved: int, keys: list[str]) -
 
 
 def cumulative_lengths(lengths: DataFrame) -> DataFrame:
-    """doc_id, len, start: tokens before a document. Blocks of documents are summed first, so that no task orders all."""
-    block = F.floor(F.col("doc_id") / 1000)
-    blocks = lengths.groupBy(block.alias("block")).agg(F.sum("len").alias("n"))
-    before = blocks.withColumn("before", F.coalesce(F.sum("n").over(W.Window.orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).select("block", "before")
-    inside = F.coalesce(F.sum("len").over(W.Window.partitionBy("block").orderBy("doc_id").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    return lengths.withColumn("block", block).withColumn("inside", inside).join(before, "block").select("doc_id", "len", (F.col("before") + F.col("inside")).alias("start"))
+    """doc_id, len, start: tokens before a document."""
+    return running_sum(lengths.select("doc_id", "len"), [F.col("doc_id")], "len", "start", Scratch(lengths.sparkSession, "lengths"))
 
 
 def active_sparsity(share: DataFrame, active: DataFrame, docs: int) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import log_rising, log_rising_histogram
-from . import counts
+from ..functions.stirling import log_stirling_of
+from . import counts, hyper
 
 
 def one(df: DataFrame) -> float:
@@ -27,10 +29,24 @@ def dirichlet_beta(wt: DataFrame, words: int, beta: float) -> DataFrame:
     return dirichlet_alpha(wt.select(F.col("topic").alias("doc_id"), F.col("word_id").alias("topic"), "n"), words, beta)
 
 
+def log_stirling_sum(table: DataFrame, a: float) -> DataFrame:
+    """One row, v: the sum of ln S(n, t) over the cells (n, t) of ``table``. Each distinct pair is computed once, from one run of the recursion, and meets the histogram."""
+    spark = table.sparkSession
+    pairs = table.filter("n > 0").groupBy("n", "t").agg(F.count("*").alias("m"))
+    known = hyper.histogram(table.filter("n > 0").select("n", "t"), "n", "t")  # a row for each distinct pair
+    values = log_stirling_of(known[:, 0], known[:, 1], a)
+    each = spark.createDataFrame([(int(n), int(t), float(v)) for (n, t, _), v in zip(known, values, strict=True)], "n long, t long, s double")
+    return pairs.join(each, ["n", "t"]).agg(F.coalesce(F.sum(F.col("m") * F.col("s")), F.lit(0.0)).alias("v"))
+
+
 def pitman_yor(table: DataFrame, group: str, a: float, b: float) -> DataFrame:
-    """loglik of counts n in restaurants ``group`` with one table wherever there is a count, so that ln S(n, 1) = G(n - 1, 1 - a)."""
-    cell = log_rising_histogram(table.withColumn("m", F.col("n") - 1), "m", 1 - a).toDF("c")
-    group_sizes = table.groupBy(group).agg(F.sum("n").alias("len"), F.count("*").alias("tables"))
+    """loglik of counts n in restaurants ``group``: with a column t those are the tables; else there is one wherever there is a count, so that ln S(n, 1) = G(n - 1, 1 - a)."""
+    if "t" in table.columns:
+        cell = log_stirling_sum(table, a).toDF("c")
+        group_sizes = table.groupBy(group).agg(F.sum("n").alias("len"), F.sum("t").alias("tables"))
+    else:
+        cell = log_rising_histogram(table.withColumn("m", F.col("n") - 1), "m", 1 - a).toDF("c")
+        group_sizes = table.groupBy(group).agg(F.sum("n").alias("len"), F.count("*").alias("tables"))
     if a == 0:
         tables = group_sizes.agg(F.sum(F.col("tables") * math.log(b)).alias("t"))
     else:
@@ -114,10 +130,25 @@ def merge_gains(dt: DataFrame, wt: DataFrame, words: int, alpha: float, beta: fl
     tt = counts.totals(wt, "topic", name="N").filter(F.col("N") > least)
     g = lambda n, a: log_rising(n, a)
 
+    topics = int(tt.agg(F.max("topic")).first()[0] or 0) + 1
+
     def side(table: DataFrame, key: str, a: float) -> DataFrame:
-        x, y = table.toDF(key, "k1", "n1"), table.toDF(key, "k2", "n2")
-        cell = x.join(y, key).filter("k1 < k2").groupBy("k1", "k2", "n1", "n2").agg(F.count("*").alias("m"))
-        return cell.groupBy("k1", "k2").agg(F.sum(F.col("m") * (g(F.col("n1") + F.col("n2"), a) - g(F.col("n1"), a) - g(F.col("n2"), a))).alias("v"))
+        def rising(n: np.ndarray) -> np.ndarray:
+            """G of whole numbers, each distinct one computed once."""
+            known, at = np.unique(n, return_inverse=True)
+            return np.array([math.lgamma(x + a) - math.lgamma(a) for x in known.tolist()])[at].reshape(n.shape)
+
+        def measure(x: np.ndarray) -> dict[str, np.ndarray]:
+            n, out = x.astype(np.int64), np.zeros((topics, topics))
+            if len(n):
+                alone = rising(n)
+                for k in range(topics):
+                    rows = n[:, k] > 0
+                    both = np.where(n[rows] > 0, n[rows, k][:, None] + n[rows], 0)
+                    out[k] = np.where(both > 0, rising(both) - alone[rows, k][:, None] - alone[rows], 0.0).sum(axis=0)
+            return {"v": out}
+
+        return counts.pair_sums(table, key, "n", measure, topics).filter("t1 < t2").select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "v")
 
     big = tt.select("topic")
     docs = side(dt.join(big, "topic", "left_semi").select("doc_id", "topic", "n"), "doc_id", alpha)

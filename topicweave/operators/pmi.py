@@ -2,17 +2,115 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Pairs that a task holds before it sums equal ones, and returns them.
+HELD_PAIRS = 2_000_000
+
+
+def summed_pairs(each: Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]):
+    """A function over batches of documents (column ws) that returns w1 < w2, c, equal pairs summed in the task. ``each`` yields pairs of a document with their counts."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def told() -> pd.DataFrame:
+            w1, w2, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((w2, w1))
+            w1, w2, c = w1[order], w2[order], c[order]
+            start = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
+            return pd.DataFrame({"w1": w1[start], "w2": w2[start], "c": np.add.reduceat(c, start)})
+
+        for part in parts:
+            for ws in part["ws"]:
+                for some in each(np.asarray(ws, np.int64)):
+                    held.append(some)
+                    size += len(some[0])
+                    if size > HELD_PAIRS:
+                        yield told()
+                        held, size = [], 0
+        if size:
+            yield told()
+
+    return run
+
 
 def document_pairs(tokens: DataFrame, least: int = 1) -> DataFrame:
-    """w1, w2, c with w1 < w2: pairs of words that at least ``least`` documents hold both, and how many do. Words in fewer documents are left out before they meet."""
+    """w1, w2, c with w1 < w2: pairs of words that at least ``least`` documents hold both, and how many do. Words in fewer documents are left out before they meet.
+
+    A document's words are one row; its pairs are made and summed where it is, and sums of tasks meet.
+    """
     seen = tokens.select("doc_id", "word_id").distinct()
     if least > 1:
         seen = seen.join(seen.groupBy("word_id").agg(F.count("*").alias("df")).filter(F.col("df") >= least).select("word_id"), "word_id")
-    a, b = seen.select("doc_id", F.col("word_id").alias("w1")), seen.select("doc_id", F.col("word_id").alias("w2"))
-    return a.join(b, "doc_id").filter("w1 < w2").groupBy("w1", "w2").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
+
+    def each(ws: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for k in range(0, len(ws), step := max(1, HELD_PAIRS // max(len(ws), 1))):
+            i, j = np.nonzero(np.arange(k, min(k + step, len(ws)))[:, None] < np.arange(len(ws))[None, :])
+            yield ws[i + k], ws[j], np.ones(len(i), np.int64)
+
+    rows = seen.groupBy("doc_id").agg(F.sort_array(F.collect_list("word_id")).alias("ws")).select("ws")  # words of one document
+    return rows.mapInPandas(summed_pairs(each), "w1 long, w2 long, c long").groupBy("w1", "w2").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+
+
+def following(ws: np.ndarray) -> np.ndarray:
+    """For each place that of the next use of its word; a place far away where there is none."""
+    order = np.lexsort((np.arange(len(ws)), ws))
+    out = np.full(len(ws), np.iinfo(np.int64).max // 2)
+    same = ws[order][1:] == ws[order][:-1]
+    out[order[:-1][same]] = order[1:][same]
+    return out
+
+
+def window_pairs(tokens: DataFrame, width: int) -> DataFrame:
+    """w1, w2, c with w1 < w2: how many windows of ``width`` tokens hold both. A document has a window from every token on that leaves one whole, or a single shorter one.
+
+    A window counts for the last uses of both words in it, at places p < q:
+    it begins at p or before, ends at q or after, and ends before either word
+    is used again. So the windows of a pair of places are a difference, and
+    only places nearer than ``width`` are compared.
+    """
+
+    def each(ws: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        wide = min(width, len(ws))
+        again = following(ws)
+        for d in range(1, wide):
+            p = np.arange(len(ws) - d)
+            q = p + d
+            last = np.minimum.reduce([p, again[p] - wide, again[q] - wide, np.full(len(p), len(ws) - wide)])
+            c = last - np.maximum(q - wide + 1, 0) + 1
+            some = (c > 0) & (ws[p] != ws[q])
+            x, y = ws[p[some]], ws[q[some]]
+            yield np.minimum(x, y), np.maximum(x, y), c[some]
+
+    return ordered_words(tokens).mapInPandas(summed_pairs(each), "w1 long, w2 long, c long").groupBy("w1", "w2").agg(F.sum("c").alias("c"))
+
+
+def ordered_words(tokens: DataFrame) -> DataFrame:
+    """ws: the words of each document in order."""
+    return tokens.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word_id"))), lambda x: x["word_id"]).alias("ws")).select("ws")  # words of one document
+
+
+def window_counts(tokens: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """word_id, n: windows that hold a word; and the number of all windows (one row, windows)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for ws in part["ws"]:
+                ws = np.asarray(ws, np.int64)
+                wide, again, p = min(width, len(ws)), following(ws), np.arange(len(ws))
+                c = np.minimum.reduce([p, again - wide, np.full(len(p), len(ws) - wide)]) - np.maximum(p - wide + 1, 0) + 1
+                yield pd.DataFrame({"word_id": ws, "n": np.maximum(c, 0)})
+
+    words = ordered_words(tokens).mapInPandas(run, "word_id long, n long").groupBy("word_id").agg(F.sum("n").alias("n"))
+    lengths = tokens.groupBy("doc_id").agg(F.count("*").alias("len"))
+    return words, lengths.agg(F.sum(F.greatest(F.col("len") - width + 1, F.lit(1))).alias("windows"))
 
 
 def pmi(pairs: DataFrame, marginals: DataFrame, windows: int, alpha: float = 0.0, sigma: float = 0.0, normalise: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -104,6 +105,11 @@ def pmi_coherence(top: DataFrame, pmi: DataFrame, k: int) -> DataFrame:
     return pairs.join(pmi, ["w1", "w2"], "left").groupBy("topic").agg((F.coalesce(F.sum("pmi"), F.lit(0.0)) / (k * k)).alias("coherence"))
 
 
+def overall_coherence(coherence: DataFrame, share: DataFrame) -> DataFrame:
+    """coherence: the mean over topics (topic, coherence) weighted by their share of the tokens (topic, share)."""
+    return coherence.join(share.select("topic", "share"), "topic").agg((F.sum(F.col("coherence") * F.col("share")) / F.sum("share")).alias("coherence"))
+
+
 def pair_mean_coherence(top: DataFrame, pmi: DataFrame) -> DataFrame:
     """topic, coherence: the mean PMI over unordered pairs."""
     a, b = top.select("topic", F.col("word_id").alias("i")), top.select("topic", F.col("word_id").alias("j"))
@@ -122,6 +128,19 @@ def sparsity_map(posterior: DataFrame, least: float) -> DataFrame:
     return v.filter(F.col("weight") > least).join(stats, "word_id")
 
 
+def topic_measures(phi: DataFrame, topics: int) -> DataFrame:
+    """t1 < t2, hellinger, kl, entropy of t1, over the words of ``phi`` (topic, word_id, p) that have both."""
+
+    def measure(x: np.ndarray) -> dict[str, np.ndarray]:
+        some = (x > 0).astype(float)
+        log = np.log(np.where(x > 0, x, 1.0))
+        own = x * log
+        return {"root": np.sqrt(x).T @ np.sqrt(x), "kl": own.T @ some - x.T @ (log * some), "own": own.T @ np.ones_like(x)}
+
+    sums = counts.pair_sums(phi, "word_id", "p", measure, topics).filter("t1 < t2")
+    return sums.select("t1", "t2", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("root"))).alias("hellinger"), "kl", (-F.col("own")).alias("entropy"))
+
+
 def vector_measures(pairs: DataFrame, key: list[str], p: Column, q: Column) -> DataFrame:
     """hellinger, kl and the entropy of p over each group."""
     return pairs.groupBy(*key).agg(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import counts, dynamic, inference, likelihood, pmi, reports, sampler, selection
+from ..operators import counts, dynamic, inference, likelihood, pmi, reports, sampler, selection, tables
 from ..sources.corpus import tokens_of_text
 from .config import ModelConfig, Prior
 from .hashing import hashed
@@ -16,8 +16,8 @@ from .workspace import ALPHA, BETA, EPOCHS, SEED, TOPICS, Workspace
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Documents that must hold both words of a pair, and rank of the shortest lists.
-PAIR_LEAST, TOP = 50, 10
+#: Documents (or windows) that must hold both words of a pair, tokens of a window, and rank of the shortest lists.
+PAIR_LEAST, WIDTH, TOP = 50, 10, 10
 #: Size of the vocabulary.
 W_SQL = "(SELECT count(*) FROM voc)"
 
@@ -48,9 +48,9 @@ queries AS (SELECT DISTINCT item_id AS qid, word_id FROM (SELECT item_id, unnest
 qs AS (SELECT qid, doc_id, round(sum(s), 6) AS score FROM (SELECT doc_id, word_id, -ln(sum(theta.p * phi.p)) AS s FROM (SELECT DISTINCT word_id FROM queries) JOIN phi USING (word_id) JOIN theta USING (topic) GROUP BY doc_id, word_id) JOIN queries USING (word_id) GROUP BY qid, doc_id),
 hits AS (SELECT qid, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS rank FROM qs) WHERE rank <= 10),
 post AS (SELECT qid, doc_id, exp(-score) / sum(exp(-score)) OVER (PARTITION BY qid) AS prob FROM hits),
-often AS (SELECT doc_id, word_id FROM seen JOIN voc USING (word_id) WHERE df >= {PAIR_LEAST}),
-pc AS (SELECT a.word_id AS w1, b.word_id AS w2, count(*) AS c FROM often a JOIN often b USING (doc_id) WHERE a.word_id < b.word_id GROUP BY ALL HAVING count(*) >= {PAIR_LEAST}),
-pm AS (SELECT w1, w2, ln((c::double / d) / ((a.df::double / d) * (b.df::double / d))) AS pmi FROM pc JOIN voc a ON a.word_id = w1 JOIN voc b ON b.word_id = w2, dn)
+often AS MATERIALIZED (SELECT doc_id, word_id FROM seen JOIN voc USING (word_id) WHERE df >= {PAIR_LEAST}),
+pc AS MATERIALIZED (SELECT a.word_id AS w1, b.word_id AS w2, count(*) AS c FROM often a JOIN often b USING (doc_id) WHERE a.word_id < b.word_id GROUP BY ALL HAVING count(*) >= {PAIR_LEAST}),
+pm AS (SELECT w1, w2, c, ln((c::double / d) / ((a.df::double / d) * (b.df::double / d))) AS pmi FROM pc JOIN voc a ON a.word_id = w1 JOIN voc b ON b.word_id = w2, dn)
 """
 
 
@@ -432,9 +432,10 @@ def top_terms(w):
     return reports.top_words(t, TOP).withColumnRenamed("word_id", "term_id")
 
 
-POST = f"""po AS (SELECT doc_id, word_id, topic, cnt, theta.p * phi.p / sum(theta.p * phi.p) OVER (PARTITION BY doc_id, word_id) AS v
-  FROM (SELECT doc_id, word_id, count(*) AS cnt FROM z GROUP BY ALL) JOIN theta USING (doc_id) JOIN phi USING (topic, word_id)),
-sm AS (SELECT word_id, topic, sum(v * cnt) AS weight FROM po GROUP BY word_id, topic)"""
+LISTS = """th AS MATERIALIZED (SELECT doc_id, list(p ORDER BY topic) AS a FROM theta GROUP BY doc_id),
+ph AS MATERIALIZED (SELECT word_id, list(p ORDER BY topic) AS b FROM phi GROUP BY word_id)"""
+POST = f"""{LISTS}, po AS (SELECT word_id, cnt / list_dot_product(a, b) AS c, a, b FROM (SELECT doc_id, word_id, count(*) AS cnt FROM z GROUP BY ALL) JOIN th USING (doc_id) JOIN ph USING (word_id)),
+sm AS MATERIALIZED (SELECT word_id, topic, weight FROM (SELECT word_id, unnest(range({TOPICS}))::bigint AS topic, unnest([{", ".join(f"sum(c * a[{k}] * b[{k}])" for k in range(1, TOPICS + 1))}]) AS weight FROM po GROUP BY word_id))"""
 
 
 @query(f""", {POST} SELECT word_id, topic, round(weight, 5) AS weight, round(perp, 5) AS perp FROM sm JOIN (
@@ -453,25 +454,45 @@ def burst_report(w):
 @query("""SELECT a.topic AS t1, b.topic AS t2, round(sqrt(greatest(0, 1 - sum(sqrt(a.p * b.p)))), 6) AS hellinger, round(sum(a.p * ln(a.p / b.p)), 6) AS kl, round(-sum(a.p * ln(a.p)), 6) AS entropy
 FROM phi a JOIN phi b USING (word_id) WHERE a.topic < b.topic GROUP BY a.topic, b.topic""")
 def topic_distances(w):
-    phi = phi_of(w)
-    both = phi.toDF("t1", "word_id", "p").join(phi.toDF("t2", "word_id", "q"), "word_id").filter("t1 < t2")
-    return rounded(reports.vector_measures(both, ["t1", "t2"], F.col("p"), F.col("q")), "hellinger", "kl", "entropy")
+    return rounded(reports.topic_measures(phi_of(w), TOPICS), "hellinger", "kl", "entropy")
 
 
 # PMI
 
 
 @query("SELECT w1, w2, c FROM pc")
-def cooc_windows(w):
+def cooc_documents(w):
     return pairs_of(w)
 
 
+WINDOWS = f"""wl AS (SELECT doc_id, greatest(len - {WIDTH} + 1, 1) AS k FROM len),
+wi AS MATERIALIZED (SELECT DISTINCT doc_id, s, word_id FROM (SELECT doc_id, word_id, unnest(range(greatest(pos - {WIDTH} + 1, 0), least(pos, k - 1) + 1)) AS s FROM ct JOIN wl USING (doc_id))),
+wp AS MATERIALIZED (SELECT w1, w2, sum(c)::bigint AS c FROM (SELECT a.word_id AS w1, b.word_id AS w2, count(*) AS c FROM wi a JOIN wi b USING (doc_id, s) WHERE a.word_id < b.word_id GROUP BY ALL) GROUP BY ALL HAVING sum(c) >= {PAIR_LEAST}),
+wc AS (SELECT word_id, count(*)::double AS n FROM wi GROUP BY word_id)"""
+
+
+def window_pairs_of(w: Workspace) -> DataFrame:
+    return w.keep("window_pairs", lambda: pmi.window_pairs(w.tokens, WIDTH).filter(F.col("c") >= PAIR_LEAST))
+
+
+@query(f", {WINDOWS} SELECT w1, w2, c FROM wp")
+def cooc_windows(w):
+    """Pairs in at least PAIR_LEAST windows of WIDTH tokens."""
+    return window_pairs_of(w)
+
+
+@query(f", {WINDOWS} SELECT w1, w2, round(ln((c / s) / ((a.n / s) * (b.n / s))), 6) AS pmi FROM wp JOIN wc a ON a.word_id = w1 JOIN wc b ON b.word_id = w2, (SELECT sum(k)::double AS s FROM wl)")
+def pmi_windows(w):
+    words, total = pmi.window_counts(w.tokens, WIDTH)
+    return rounded(pmi.pmi(window_pairs_of(w), words, total.first()[0]), "pmi")
+
+
 @query("SELECT w1, w2, round(pmi, 6) AS pmi FROM pm")
 def pmi_pairs(w):
     return rounded(pmi_of(w), "pmi")
 
 
-@query("SELECT w1, w2, round(pmi / -ln(c::double / d), 6) AS pmi FROM pm JOIN pc USING (w1, w2), dn WHERE c < d")
+@query("SELECT w1, w2, round(pmi / -ln(c::double / d), 6) AS pmi FROM pm, dn WHERE c < d")
 def npmi(w):
     p = pmi_of(w, normalise=True).join(pairs_of(w), ["w1", "w2"]).filter(F.col("c") < w.doc_count)
     return rounded(p.drop("c"), "pmi")
@@ -501,6 +522,13 @@ def pmi_coherence(w):
     return rounded(reports.pmi_coherence(top_of(w, "count"), top_pmi(w), TOP), "coherence")
 
 
+@query(f"""{TOP_PMI}, pcoh AS (SELECT topic, coalesce(sum(pmi), 0) / 100 AS c FROM (SELECT a.topic, a.word_id AS w1, b.word_id AS w2 FROM topn a JOIN topn b ON a.topic = b.topic AND a.word_id < b.word_id) LEFT JOIN tp USING (w1, w2) GROUP BY topic)
+SELECT round(sum(c * n_k) / sum(n_k), 6) AS coherence FROM pcoh JOIN tn USING (topic)""")
+def pmi_overall(w):
+    share = counts.topic_share(counts.totals(w.word_topic, "topic"))
+    return rounded(reports.overall_coherence(reports.pmi_coherence(top_of(w, "count"), top_pmi(w), TOP), share), "coherence")
+
+
 @query(f"""{TOP_PMI} SELECT topic, round(avg(coalesce(pmi, 0)), 6) AS coherence FROM (SELECT a.topic, a.word_id AS w1, b.word_id AS w2 FROM topn a JOIN topn b ON a.topic = b.topic AND a.word_id < b.word_id) LEFT JOIN tp USING (w1, w2) GROUP BY topic""")
 def pair_mean_coherence(w):
     return rounded(reports.pair_mean_coherence(top_of(w, "count"), top_pmi(w)), "coherence")
@@ -670,15 +698,32 @@ def query_exclude_topics(w):
     return inference.exclude_topics(queries_of(w), best_of(w), [0, 1])
 
 
-@query()
+TOPK = f"""{LISTS}, best AS (SELECT doc_id, max({{'s': round(list_dot_product(a, b), 12), 'w': -word_id}}, {TOP}) AS m FROM th CROSS JOIN ph ANTI JOIN seen USING (doc_id, word_id) GROUP BY doc_id)"""
+
+
+@query(f", {TOPK} SELECT doc_id, unnest(range(1, len(m) + 1)) AS rank, -unnest(m).w AS word_id, round(unnest(m).s, 9) AS score FROM best")
 def predict_topk(w):
-    """Ten unseen words for every document out of the whole vocabulary; a test compares it with brute force."""
-    return inference.predict_topk(theta_of(w), phi_of(w), w.z, TOP)
+    """Ten unseen words for every document out of the whole vocabulary."""
+    return rounded(inference.predict_topk(theta_of(w), phi_of(w), w.z, TOP), "score", digits=9)
 
 
-@query()
+KEPT = f"""kz AS MATERIALIZED (SELECT * FROM z WHERE (pos + 1) % 4 <> 0),
+kl AS (SELECT doc_id, count(*) AS len FROM kz GROUP BY doc_id),
+kd AS (SELECT doc_id, topic, count(*) AS n FROM kz GROUP BY ALL),
+kw AS (SELECT word_id, topic, count(*) AS n FROM kz GROUP BY ALL),
+kt AS (SELECT topic, count(*) AS n_k FROM kz GROUP BY topic),
+ka AS MATERIALIZED (SELECT doc_id, list((coalesce(n, 0) + {ALPHA}::double) / (len + {TOPICS} * {ALPHA}::double) ORDER BY topic) AS a FROM kl CROSS JOIN topics LEFT JOIN kd USING (doc_id, topic) GROUP BY doc_id),
+kb AS MATERIALIZED (SELECT word_id, list((coalesce(n, 0) + {BETA}::double) / (coalesce(n_k, 0) + {W_SQL} * {BETA}::double) ORDER BY topic) AS b FROM topics CROSS JOIN (SELECT word_id FROM voc) LEFT JOIN kw USING (topic, word_id) LEFT JOIN kt USING (topic) GROUP BY word_id),
+pred AS (SELECT doc_id, -unnest(m).w AS word_id FROM (SELECT doc_id, max({{'s': round(list_dot_product(a, b), 12), 'w': -word_id}}, {TOP}) AS m FROM ka CROSS JOIN kb ANTI JOIN kz USING (doc_id, word_id) GROUP BY doc_id)),
+want AS (SELECT doc_id, word_id FROM z WHERE (pos + 1) % 4 = 0 EXCEPT SELECT doc_id, word_id FROM kz),
+ws AS (SELECT doc_id, count(*) AS len FROM want GROUP BY doc_id),
+wh AS (SELECT doc_id, count(*) AS hit FROM pred JOIN want USING (doc_id, word_id) GROUP BY doc_id)"""
+
+
+@query(f""", {KEPT} SELECT round(avg(coalesce(hit, 0)::double / least(ws.len, {TOP})) FILTER (ws.len IS NOT NULL), 9) AS precision, round(avg(coalesce(hit, 0)::double / ws.len), 9) AS recall, count(ws.len) AS docs, count(*) FILTER (ws.len IS NULL) AS empty
+FROM kl LEFT JOIN ws USING (doc_id) LEFT JOIN wh USING (doc_id)""")
 def precision_recall_at_k(w):
-    """Every fourth token of all documents is held out; predictions come from the others. A test compares it with brute force."""
+    """Every fourth token of all documents is held out; predictions come from the others."""
     z = selection.hold_doc(w.z, 4)
     kept = z.filter("not held")
     theta = inference.theta_dirichlet(counts.doc_topic(kept), TOPICS, ALPHA)
@@ -776,6 +821,46 @@ def lik_py_beta(w):
     return rounded(likelihood.pitman_yor(w.word_topic, "topic", 0.5, 100.0), "loglik", digits=3)
 
 
+def seats(table: DataFrame) -> DataFrame:
+    """A table count for each cell, one to five."""
+    return table.withColumn("t", F.least("n", 1 + F.col("n") % 5))
+
+
+#: ln S(n, t) for a discount of one half, in closed form.
+HALF = "lgamma(2.0::double * n - t) - lgamma(n - t + 1.0::double) - lgamma(t::double) - 2.0::double * (n - t) * ln(2)"
+
+
+def seated_sql(table: str, group: str, b: float) -> str:
+    return f"""(SELECT (SELECT sum({HALF}) FROM st) + sum(tt * ln(0.5::double) + lgamma(tt + {2 * b}::double) - lgamma({2 * b}::double) - lgamma(len + {b}::double) + lgamma({b}::double)) FROM (SELECT {group}, sum(t)::double AS tt, sum(n)::double AS len FROM st GROUP BY {group}))"""
+
+
+def st_sql(table: str) -> str:
+    return f", st AS MATERIALIZED (SELECT *, least(n, 1 + n % 5) AS t FROM {table})"
+
+
+@query(f"{st_sql('dt')} SELECT round({seated_sql('dt', 'doc_id', 10.0)}, 3) AS loglik")
+def lik_py_alpha_tables(w):
+    return rounded(likelihood.pitman_yor(seats(w.doc_topic), "doc_id", 0.5, 10.0), "loglik", digits=3)
+
+
+@query(f"{st_sql('wt')} SELECT round({seated_sql('wt', 'topic', 100.0)}, 3) AS loglik")
+def lik_py_beta_tables(w):
+    return rounded(likelihood.pitman_yor(seats(w.word_topic), "topic", 0.5, 100.0), "loglik", digits=3)
+
+
+@query(f"""{st_sql('dt')}, rt AS (SELECT topic, sum(t)::double AS tables FROM st GROUP BY topic)
+SELECT round((SELECT sum(lgamma(tables - 0.1::double) - lgamma(0.9::double)) FROM rt) + (SELECT count(*) * ln(0.1::double) + lgamma(count(*) + 100.0::double) - lgamma(100.0::double) - lgamma(sum(tables) + 10.0::double) + lgamma(10.0::double) FROM rt), 3) AS loglik""")
+def lik_gem_root_tables(w):
+    tables = seats(w.doc_topic).groupBy("topic").agg(F.sum("t").alias("tables"))
+    return rounded(likelihood.root_gem(tables, 0.1, 10.0), "loglik", digits=3)
+
+
+@query(f"""{st_sql("(SELECT topic, doc_id, word_id, count(*) AS n FROM z GROUP BY ALL)")} SELECT round({seated_sql('st', 'doc_id, topic', 100.0)}, 3) AS loglik""")
+def lik_burst_tables(w):
+    cell = w.z.groupBy("doc_id", "topic", "word_id").agg(F.count("*").alias("n"))
+    return rounded(likelihood.pitman_yor(seats(cell).withColumn("g", F.struct("doc_id", "topic")), "g", 0.5, 100.0), "loglik", digits=3)
+
+
 def root_tables(w: Workspace) -> DataFrame:
     return w.doc_topic.groupBy("topic").agg(F.count("*").alias("tables"))
 
@@ -968,19 +1053,42 @@ def sizes(state: sampler.State) -> DataFrame:
 LDA = ModelConfig(topics=TOPICS, cycles=4, alpha=Prior("dir"), beta=Prior("dir"))
 
 
+def seated_sizes(model: tables.Model) -> DataFrame:
+    """topic, tokens, docs, tables (of documents) of each topic."""
+    return tables.doc_tables(model).groupBy("topic").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"), F.sum("t").alias("tables"))
+
+
 @query()
 def gibbs_lda(w):
-    return sizes(sampler.fit(modelled(w), LDA))
+    return seated_sizes(tables.fit(modelled(w), LDA)[0])
 
 
 @query()
 def gibbs_hdp(w):
-    return sizes(sampler.fit(modelled(w), ModelConfig(topics=TOPICS, cycles=4, alpha=Prior("hdp"))))
+    return seated_sizes(tables.fit(modelled(w), ModelConfig(topics=TOPICS, cycles=4, alpha=Prior("hdp"), beta=Prior("dir")))[0])
 
 
 @query()
 def gibbs_pdp(w):
-    return sizes(sampler.fit(modelled(w), ModelConfig(topics=TOPICS, cycles=2, alpha=Prior("hpdd", a=0.3, a0=0.2))))
+    """Tables on both sides; all parameters are sampled after the second cycle."""
+    names = ("a", "b", "a0", "b0", "aw", "bw", "aw0", "bw0")
+    config = ModelConfig(topics=TOPICS, cycles=3, alpha=Prior("hpdd", a=0.3, a0=0.2), sample=names, sample_start=2, sample_every=5)
+    return seated_sizes(tables.fit(modelled(w), config)[0])
+
+
+@query()
+def gibbs_lda_prior(w):
+    """The words' prior is their frequency in another corpus, the conversations."""
+    other = tokens_of_text(w.read("conversations"), "conv_id", "text").groupBy("word").agg(F.count("*").alias("cnt"))
+    base = pmi.prior_from_counts(w.vocab, other).select("word_id", F.col("weight").alias("p"))
+    config = ModelConfig(topics=TOPICS, cycles=2, alpha=Prior("dir"), beta=Prior("pdp", a=0.3, b=100.0))
+    return seated_sizes(tables.fit(modelled(w), config, word_base=base)[0])
+
+
+@query()
+def phi_averaged(w):
+    """The mean of phi over the last two of four cycles."""
+    return tables.fit(modelled(w), LDA, save_from=3)[1].phi
 
 
 @query()

@@ -15,12 +15,14 @@ STATE = ("tokens", "doc_topic", "word_topic", "phi", "theta", "doc_latent", "mu"
 
 
 def text_rows(rows: DataFrame, path: str, head: list[str] = ()) -> None:
-    """Write (line, value) in the order of line as part files whose names go by it, below the given head lines."""
+    """Write value in the order of line, and of place where there is one, as part files whose names go by it, below the given head lines."""
     spark = rows.sparkSession
-    both = rows.select(F.col("line").cast("long").alias("line"), "value")
+    place = F.col("place").cast("long") if "place" in rows.columns else F.lit(0).cast("long")
+    both = rows.select(F.lit(1).alias("part"), F.col("line").cast("long").alias("line"), place.alias("place"), "value")
     if head:
-        both = spark.createDataFrame([(k - len(head), h) for k, h in enumerate(head)], "line long, value string").unionByName(both)
-    both.repartitionByRange("line").sortWithinPartitions("line").select("value").write.mode("overwrite").text(path)
+        both = spark.createDataFrame([(0, k, 0, h) for k, h in enumerate(head)], "part int, line long, place long, value string").unionByName(both)
+    order = ("part", "line", "place")
+    both.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
 
 
 def by_document(tokens: DataFrame, docs: int, entry: str) -> DataFrame:
@@ -52,14 +54,13 @@ def write_lst(tokens: DataFrame, path: str, docs: int, words: int) -> None:
 
 def write_docword(tokens: DataFrame, path: str, docs: int, words: int) -> None:
     bag = first_places(tokens)
-    line = (F.col("doc_id") * (1 << 20) + F.col("pos")).alias("line")
-    text_rows(bag.select(line, F.concat_ws(" ", (F.col("doc_id") + 1).cast("string"), (F.col("word_id") + 1).cast("string"), F.col("c").cast("string")).alias("value")), path, [str(docs), str(words), str(bag.count())])
+    text_rows(bag.select(F.col("doc_id").alias("line"), F.col("pos").alias("place"), F.concat_ws(" ", (F.col("doc_id") + 1).cast("string"), (F.col("word_id") + 1).cast("string"), F.col("c").cast("string")).alias("value")), path, [str(docs), str(words), str(bag.count())])
 
 
 def write_witdit(tokens: DataFrame, words: str, docs: str) -> None:
-    line = (F.col("doc_id") * (1 << 20) + F.col("pos")).alias("line")
-    text_rows(tokens.select(line, (F.col("word_id") + 1).cast("string").alias("value")), words)
-    text_rows(tokens.select(line, (F.col("doc_id") + 1).cast("string").alias("value")), docs)
+    line = (F.col("doc_id").alias("line"), F.col("pos").alias("place"))
+    text_rows(tokens.select(*line, (F.col("word_id") + 1).cast("string").alias("value")), words)
+    text_rows(tokens.select(*line, (F.col("doc_id") + 1).cast("string").alias("value")), docs)
 
 
 def write_probs(theta: DataFrame, path: str, least: float, renormalise: bool) -> None:
@@ -73,7 +74,7 @@ def write_sparse(matrix: DataFrame, path: str, rows: int, columns: int) -> None:
     """i, j, v below a header, without zeros."""
     some = matrix.filter("v <> 0")
     value = F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.col("v").cast("string")).alias("value")
-    text_rows(some.select((F.col("i") * columns + F.col("j")).alias("line"), value), path, [str(rows), str(columns), str(some.count())])
+    text_rows(some.select(F.col("i").alias("line"), F.col("j").alias("place"), value), path, [str(rows), str(columns), str(some.count())])
 
 
 def save_state(folder: str, tables: dict[str, DataFrame], params: dict) -> None:
