@@ -257,12 +257,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         forget(docs.sparkSession)
         known = reps.withColumn("label", F.col("rep")) if labels is None else reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         found = like_pairs(docs, known, PERCENT, scratch) if last else candidates(known, range(k, k + ROUND_TREES), True, scratch)
+        forget(docs.sparkSession)
         pairs = found if last else most_alike(found)
         if tried:
             pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
         tried.append(scratch.keep(pairs))
         scratch.drop(found)
+        del pairs
         sets = sets_of(tried[-1], docs, scratch)
+        forget(docs.sparkSession)
         links.append(scratch.keep(confirm(tried[-1], sets)))
         scratch.drop(sets)
         if labels is None or not links[-1].isEmpty():
@@ -270,7 +273,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             if before is not None:
                 scratch.drop(before)
             del before
-        del known, found, pairs, sets
+        del known, found, sets
     scratch.drop(*tried, *links)
     classes = reps.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("_label"))
     # a row without shingles has no class; it goes by its own id, so that such rows are not one key
