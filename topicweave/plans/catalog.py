@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import counts, dynamic, inference, likelihood, pmi, reports, sampler, selection, tables
+from ..operators import counts, dynamic, epochs, inference, likelihood, pmi, reports, sampler, selection, tables
 from ..sources.corpus import tokens_of_text
 from .config import ModelConfig, Prior
 from .hashing import hashed
@@ -1103,8 +1103,10 @@ def gibbs_ng_ibp(w):
 
 @query()
 def gibbs_epoch(w):
-    epochs = w.read("documents").select("doc_id", w.epoch(F.col("doc_id")).alias("epoch"))
-    return sizes(sampler.fit(modelled(w), ModelConfig(topics=TOPICS, cycles=2, alpha=Prior("hdp"), epochs=EPOCHS), epochs))
+    """Four epochs whose tables go back to the epochs before."""
+    known = w.read("documents").select("doc_id", w.epoch(F.col("doc_id")).alias("epoch"))
+    model = epochs.fit(modelled(w), ModelConfig(topics=TOPICS, cycles=2, alpha=Prior("hpdd", a0=0.2), epochs=EPOCHS), known)
+    return model.words.groupBy("epoch", "topic").agg(F.sum("n").alias("tokens"), F.sum("t").alias("tables"), F.count("*").alias("cells"))
 
 
 @query()
