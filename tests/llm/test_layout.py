@@ -291,3 +291,27 @@ def test_pipeline_matches_its_stages(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r.doc_id for r in got if r.start == 0) == sorted(out["mixing"])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language id", "exact dedup", "near dedup", "mixing", "packing"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_of_odd_rows(docs, odd, empty, spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing names pass all stages; an empty table stays one."""
+    import corpus_pipeline
+
+    def through(now):
+        seen = [now.count()]
+        columns = now.columns
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, now, "").write.parquet(f"file://{tmp_path}/{seen[0]}-{k}")
+            now = spark.read.parquet(f"file://{tmp_path}/{seen[0]}-{k}")
+            assert name == "packing" or now.columns == columns
+            seen.append(now.count())
+        return now, seen
+
+    last, seen = through(odd.withColumn("lang", F.lit("en")))
+    # texts without a letter go, then the repeated row; the null id stays a row of its own
+    assert seen[0] == 10 and seen[1] == 7 and seen[2] == 6 and seen[3] == 6
+    assert {r.doc_id for r in last.collect()} <= {None, 4, 5, 7, 8, 9}
+    pieces = last.filter("doc_id = 8").collect()
+    total = {r.doc_tokens for r in pieces}
+    assert not pieces or sum(r.length for r in pieces) % total.pop() == 0
+    assert through(empty)[1] == [0] * 6
