@@ -37,7 +37,7 @@ def ratio_rows(a: float, tables: int) -> Iterator[np.ndarray]:
 class Ratios:
     """V(n, t) for n up to ``customers`` and t up to ``tables``; between kept rows by the logarithm of n."""
 
-    def __init__(self, a: float, customers: int, tables: int):
+    def __init__(self, a: float, customers: int, tables: int, all_rows: int = ALL_ROWS):
         self.a, self.tables = a, tables
         customers = min(max(customers, 2), LIMIT)
         kept, rows, due = [], [], 1.0
@@ -45,7 +45,7 @@ class Ratios:
             if n >= due or n == customers:
                 kept.append(n)
                 rows.append(v)
-                due = n + 1 if n < ALL_ROWS else n * STEP
+                due = n + 1 if n < all_rows else n * STEP
             if n == customers:
                 break
         self.kept = np.array(kept, dtype=float)

@@ -122,42 +122,52 @@ def perplexity(*parts: DataFrame, tokens: int) -> float:
     return -sum(one(p) for p in parts) / tokens * math.log2(math.e)
 
 
+def rising_gains(table: DataFrame, key: str, a: float, topics: int) -> DataFrame:
+    """k1, k2 > k1, v: the sum of G(n1 + n2, a) - G(n1, a) - G(n2, a) over the keys where both topics have a count; elsewhere it is 0."""
+
+    def rising(n: np.ndarray) -> np.ndarray:
+        """G of whole numbers, each distinct one computed once."""
+        known, at = np.unique(n, return_inverse=True)
+        return np.array([math.lgamma(x + a) - math.lgamma(a) for x in known.tolist()])[at].reshape(n.shape)
+
+    def measure(x: np.ndarray) -> dict[str, np.ndarray]:
+        n, out = x.astype(np.int64), np.zeros((topics, topics))
+        if len(n):
+            alone = rising(n)
+            for k in range(topics):
+                rows = n[:, k] > 0
+                both = np.where(n[rows] > 0, n[rows, k][:, None] + n[rows], 0)
+                out[k] = np.where(both > 0, rising(both) - alone[rows, k][:, None] - alone[rows], 0.0).sum(axis=0)
+        return {"v": out}
+
+    return counts.pair_sums(table, key, "n", measure, topics).filter("t1 < t2").select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "v")
+
+
+def large_topics(wt: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """topic, N of topics with more than ``least`` tokens, and one more than the last topic."""
+    tt = counts.totals(wt, "topic", name="N").filter(F.col("N") > least)
+    return tt, int(tt.agg(F.max("topic")).first()[0] or 0) + 1
+
+
+def word_gains(wt: DataFrame, words: int, beta: float, least: int = 5) -> DataFrame:
+    """k1, k2 > k1, v: how the Dirichlet log likelihood of the word side changes when k2 is merged into k1, for all pairs of topics with more than ``least`` tokens."""
+    tt, topics = large_topics(wt, least)
+    over = rising_gains(wt.join(tt.select("topic"), "topic", "left_semi").select("word_id", "topic", "n"), "word_id", beta, topics)
+    a, b = tt.toDF("k1", "N1"), tt.toDF("k2", "N2")
+    pairs = a.join(b, F.col("k1") < F.col("k2"))  # topics x topics
+    total = log_rising(F.col("N1") + F.col("N2"), words * beta) - log_rising(F.col("N1"), words * beta) - log_rising(F.col("N2"), words * beta)
+    return pairs.join(over, ["k1", "k2"], "left").select("k1", "k2", (F.coalesce("v", F.lit(0.0)) - total).alias("v"))
+
+
 def merge_gains(dt: DataFrame, wt: DataFrame, words: int, alpha: float, beta: float, least: int = 5) -> DataFrame:
     """k1, k2 > k1, gain: how the Dirichlet log likelihood changes when k2 is merged into k1, for topics with more than ``least`` tokens.
 
     Only cells where both topics have a count differ, by G(n1 + n2) - G(n1) - G(n2); pairs meet by document and by word.
     """
-    tt = counts.totals(wt, "topic", name="N").filter(F.col("N") > least)
-    g = lambda n, a: log_rising(n, a)
-
-    topics = int(tt.agg(F.max("topic")).first()[0] or 0) + 1
-
-    def side(table: DataFrame, key: str, a: float) -> DataFrame:
-        def rising(n: np.ndarray) -> np.ndarray:
-            """G of whole numbers, each distinct one computed once."""
-            known, at = np.unique(n, return_inverse=True)
-            return np.array([math.lgamma(x + a) - math.lgamma(a) for x in known.tolist()])[at].reshape(n.shape)
-
-        def measure(x: np.ndarray) -> dict[str, np.ndarray]:
-            n, out = x.astype(np.int64), np.zeros((topics, topics))
-            if len(n):
-                alone = rising(n)
-                for k in range(topics):
-                    rows = n[:, k] > 0
-                    both = np.where(n[rows] > 0, n[rows, k][:, None] + n[rows], 0)
-                    out[k] = np.where(both > 0, rising(both) - alone[rows, k][:, None] - alone[rows], 0.0).sum(axis=0)
-            return {"v": out}
-
-        return counts.pair_sums(table, key, "n", measure, topics).filter("t1 < t2").select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "v")
-
-    big = tt.select("topic")
-    docs = side(dt.join(big, "topic", "left_semi").select("doc_id", "topic", "n"), "doc_id", alpha)
-    over = side(wt.join(big, "topic", "left_semi").select("word_id", "topic", "n"), "word_id", beta)
-    a, b = tt.toDF("k1", "N1"), tt.toDF("k2", "N2")
-    pairs = a.join(b, F.col("k1") < F.col("k2"))  # topics x topics
-    total = g(F.col("N1") + F.col("N2"), words * beta) - g(F.col("N1"), words * beta) - g(F.col("N2"), words * beta)
-    full = pairs.join(docs.withColumnRenamed("v", "dv"), ["k1", "k2"], "left").join(over.withColumnRenamed("v", "wv"), ["k1", "k2"], "left")
-    return full.select("k1", "k2", (F.coalesce("dv", F.lit(0.0)) + F.coalesce("wv", F.lit(0.0)) - total).alias("gain"))
+    tt, topics = large_topics(wt, least)
+    docs = rising_gains(dt.join(tt.select("topic"), "topic", "left_semi").select("doc_id", "topic", "n"), "doc_id", alpha, topics)
+    full = word_gains(wt, words, beta, least).join(docs.withColumnRenamed("v", "dv"), ["k1", "k2"], "left")
+    return full.select("k1", "k2", (F.coalesce("dv", F.lit(0.0)) + F.col("v")).alias("gain"))
 
 
 def apply_merges(z: DataFrame, gains: DataFrame, best: int) -> DataFrame:

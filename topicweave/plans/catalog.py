@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import counts, dynamic, epochs, inference, likelihood, pmi, reports, sampler, selection, tables
+from ..operators import counts, dynamic, epochs, inference, likelihood, merging, pmi, reports, sampler, selection, tables
 from ..sources.corpus import tokens_of_text
 from .config import ModelConfig, Prior
 from .hashing import hashed
@@ -937,6 +937,45 @@ def merge_apply(w):
     return likelihood.apply_merges(w.z, gains_of(w), 1).groupBy("topic").agg(F.count("*").alias("n"))
 
 
+SEATED = Prior("hdp", a=0.5, b=10.0, b0=10.0)
+#: Gains of the steps t -> t + 1 at a discount of one half, by cells of 1 / 1024.
+STEP = "ln((10 + 0.5::double * (o + t)) * 4 * (n - t) / ((2.0::double * n - t - 1) * t))"
+ONE = "lgamma(n - 0.5::double) - lgamma(0.5::double)"
+SEATED_GAINS = f""", st AS MATERIALIZED (SELECT *, {HALF} AS s FROM (SELECT doc_id, topic, n, least(n, 1 + n % 5) AS t FROM dt)),
+al AS (SELECT doc_id, sum(t) AS al FROM st GROUP BY doc_id),
+rt AS (SELECT topic, sum(t)::double AS old FROM st GROUP BY topic),
+pr AS (SELECT a.topic AS k1, b.topic AS k2 FROM topics a JOIN topics b ON a.topic < b.topic),
+hd AS MATERIALIZED (SELECT k1, k2, doc_id, any_value(al) AS al, sum(n)::bigint AS n, (any_value(al) - sum(t))::double AS o, sum(s) AS s FROM pr JOIN st ON topic = k1 OR topic = k2 JOIN al USING (doc_id) GROUP BY k1, k2, doc_id),
+sp AS (SELECT k1, k2, {STEP} AS v FROM (SELECT *, unnest(range(1, n)) AS t FROM hd)),
+ce AS (SELECT k1, k2, floor(v * 1024)::bigint AS cell, count(*) AS c, sum(v) AS v FROM sp WHERE v > 0 GROUP BY ALL UNION ALL
+  SELECT k1, k2, 1073741824 AS cell, count(*) AS c, sum({ONE} + lgamma(o + 21.0::double) - lgamma(al + 20.0::double) + (o + 1 - al) * ln(0.5::double) - s) AS v FROM hd GROUP BY ALL),
+cu AS (SELECT k1, k2, cell, sum(c) OVER x AS tables, sum(v) OVER x AS v FROM ce WINDOW x AS (PARTITION BY k1, k2 ORDER BY cell DESC)),
+sa AS (SELECT k1, k2, cell, tables, v + lgamma(s + 10.0::double) - lgamma(s - p.old - q.old + tables + 10.0::double) + lgamma(tables + 1.0::double) - lgamma(p.old + 1) - lgamma(q.old + 1) AS v
+  FROM cu JOIN rt p ON p.topic = k1 JOIN rt q ON q.topic = k2, (SELECT sum(old) AS s FROM rt)),
+dg AS (SELECT k1, k2, cell, tables, v FROM sa QUALIFY row_number() OVER (PARTITION BY k1, k2 ORDER BY round(v, 6) DESC, cell DESC) = 1),
+sg AS (SELECT k1, k2, round(a.v + b.v - ({g_sql('m.n_k + o.n_k', BETA_ALL)} - {g_sql('m.n_k', BETA_ALL)} - {g_sql('o.n_k', BETA_ALL)}), 3) AS gain, tables::bigint AS tables
+  FROM dg a JOIN ({pair_sql('wt', 'word_id', BETA)}) b USING (k1, k2) JOIN tn m ON m.topic = k1 JOIN tn o ON o.topic = k2)"""
+
+
+def seated_gains_of(w: Workspace) -> DataFrame:
+    return w.keep("seated_gains", lambda: merging.merge_gains(seats(w.doc_topic), w.word_topic, w.word_count, SEATED, BETA, TOPICS))
+
+
+@query(f"{SEATED_GAINS} SELECT k1, k2, gain, tables FROM sg")
+def merge_deltas_tables(w):
+    """Documents are restaurants under a Dirichlet root; the merged topic's tables are set to the best."""
+    return rounded(seated_gains_of(w), "gain", digits=3).select("k1", "k2", "gain", "tables")
+
+
+@query(f"""{SEATED_GAINS}, best AS (SELECT k1, k2, tables FROM sg ORDER BY gain DESC, k1, k2 LIMIT 1)
+SELECT CASE WHEN topic = k2 THEN k1 ELSE topic END AS topic, sum(n)::bigint AS n, (CASE WHEN bool_or(topic IN (k1, k2)) THEN any_value(tables) ELSE sum(t) END)::bigint AS t FROM st, best GROUP BY 1""")
+def merge_apply_tables(w):
+    """The merge of the largest gain, or least loss, applied to all documents."""
+    r = rounded(seated_gains_of(w), "gain", digits=3).orderBy(F.col("gain").desc(), "k1", "k2").first()
+    after = merging.merged_documents(seats(w.doc_topic), [(r.k1, r.k2, r.cell)], SEATED)
+    return after.groupBy("topic").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
 # Epochs
 
 
