@@ -113,12 +113,17 @@ def cooccurrence(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return a.join(b, "doc_id").filter("w1 >= w2").groupBy("w1", "w2").agg(F.count("*").alias("docs"))
 
 
-def term_topics(z: DataFrame, spans: DataFrame) -> DataFrame:
-    """term_id, topic, n: spans (doc_id, pos, len, term_id) whose tokens all have one topic."""
+def one_topic_spans(z: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, term_id, topic: spans (doc_id, pos, len, term_id) whose tokens all have one topic."""
     inside = spans.withColumn("at", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)))
     met = inside.select("doc_id", F.col("pos").alias("start"), "len", "term_id", F.col("at").alias("pos")).join(z, ["doc_id", "pos"])
     one = met.groupBy("doc_id", "start", "len", "term_id").agg(F.min("topic").alias("topic"), F.max("topic").alias("m"), F.count("*").alias("k"))
-    return one.filter("topic = m and k = len").groupBy("term_id", "topic").agg(F.count("*").alias("n"))
+    return one.filter("topic = m and k = len").select("doc_id", "term_id", "topic")
+
+
+def term_topics(z: DataFrame, spans: DataFrame) -> DataFrame:
+    """term_id, topic, n: of how many spans (doc_id, pos, len, term_id) all tokens have the topic."""
+    return one_topic_spans(z, spans).groupBy("term_id", "topic").agg(F.count("*").alias("n"))
 
 
 def bursts(z: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import counts, dynamic, epochs, inference, likelihood, merging, pmi, reports, sampler, selection, tables
+from ..operators import counts, dynamic, epochs, inference, likelihood, merging, pmi, query_sweeps, reports, sampler, selection, tables
 from ..sources.corpus import tokens_of_text
 from .config import ModelConfig, Prior
 from .hashing import hashed
@@ -671,6 +671,26 @@ def query_terms(w):
     return rounded(inference.prune(weights, ["qid"], "weight", 0.01), "weight")
 
 
+@query("""SELECT qid, topic, round(weight, 6) AS weight FROM (SELECT qid, topic, sum(prob * prop) AS weight FROM post JOIN props USING (doc_id) GROUP BY qid, topic)
+QUALIFY weight >= max(weight) OVER (PARTITION BY qid) * 0.01::double""")
+def query_topic_weights(w):
+    return rounded(query_sweeps.query_topics(inference.query_posterior(hits_of(w)), w.doc_topic, 0.01), "weight")
+
+
+@query(f""", {SPANS}, sv AS (SELECT qid, count(*) AS saved FROM post GROUP BY qid)
+SELECT qid, term_id, round(weight, 6) AS weight FROM (SELECT qid, term_id, sum(prob * c) / any_value(saved) AS weight FROM post JOIN (SELECT doc_id, term_id, count(*) AS c FROM x WHERE t1 = t2 GROUP BY ALL) USING (doc_id) JOIN sv USING (qid) GROUP BY qid, term_id)
+QUALIFY weight >= max(weight) OVER (PARTITION BY qid) * 0.01::double""")
+def query_collocations(w):
+    spans = counts.one_topic_spans(w.z, spans_of(w))
+    return rounded(query_sweeps.query_collocations(inference.query_posterior(hits_of(w)), spans, 0.01), "weight")
+
+
+@query()
+def query_sampled(w):
+    """The ten best documents for each query by twenty sweeps over all documents under a fixed word side."""
+    return inference.best_documents(query_sweeps.query_sweeps(queries_of(w), w.tokens, phi_of(w), ALPHA, 10), 10)
+
+
 @query("SELECT qid, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS rank FROM qs) WHERE rank > 3 AND rank <= 8")
 def query_exclude_top(w):
     return inference.best_documents(inference.query_hits(queries_of(w), theta_of(w), phi_of(w), 8), 5, skip=3)
