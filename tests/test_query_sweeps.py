@@ -60,6 +60,6 @@ def test_nothing_to_score(tables):
 
 def test_groups_of_documents_are_bounded():
     lens = np.array([5, 1, 900_000, 3, 3])
-    groups = list(query_sweeps.alike(lens, 10))
+    groups = list(query_sweeps.alike(lens, 10, 20))
     assert sorted(np.concatenate(groups).tolist()) == [0, 1, 2, 3, 4]
     assert [2] in [g.tolist() for g in groups]

@@ -91,7 +91,7 @@ def query_sweeps(queries: DataFrame, tokens: DataFrame, phi: DataFrame, alpha: f
             ids, best = [np.zeros(0, np.int64)] * len(names), [np.zeros(0)] * len(names)
             for part in parts:
                 lens = part["cnt"].map(np.sum).to_numpy()
-                for some in alike(lens, topics + len(at)):
+                for some in alike(lens, topics, len(at)):
                     full = np.zeros((len(some), int(lens[some].max()), topics))
                     for i, row in enumerate(some):
                         full[i, : lens[row]] = np.repeat(part["ph"].iat[row].reshape(-1, topics), part["cnt"].iat[row], axis=0)
@@ -109,12 +109,12 @@ def query_sweeps(queries: DataFrame, tokens: DataFrame, phi: DataFrame, alpha: f
     return found
 
 
-def alike(lens: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """Rows in order of length, in groups of at most BLOCK numbers but for a longer document."""
+def alike(lens: np.ndarray, width: int, more: int) -> Iterator[np.ndarray]:
+    """Rows in order of length, in groups of at most BLOCK numbers, ``width`` for a token and ``more`` for a document, but for a longer document."""
     order, i = np.argsort(lens, kind="stable"), 0
     while i < len(order):
         j = i + 1
-        while j < len(order) and (j + 1 - i) * int(lens[order[j]]) * width <= BLOCK:
+        while j < len(order) and (j + 1 - i) * (int(lens[order[j]]) * width + more) <= BLOCK:
             j += 1
         yield order[i:j]
         i = j

@@ -75,6 +75,28 @@ def diagnostics(wt: DataFrame, dt: DataFrame, phi: DataFrame, vocab: DataFrame,
     return share.join(used, "topic").join(used_docs, "topic").join(of_words, "topic").join(of_docs, "topic")
 
 
+def further_diagnostics(rows: DataFrame, top1: DataFrame, coherence: DataFrame, pmi: DataFrame, burst: DataFrame | None = None, gamma: DataFrame | None = None, active: DataFrame | None = None, docs: int = 0) -> DataFrame:
+    """``rows`` of ``diagnostics`` with t1, co, pmi and what the model has besides.
+
+    t1: documents whose largest topic it is (topic, docs); co and pmi: its
+    coherences (topic, coherence). bd: the concentration of bursts (topic, b).
+    ng, ngv: the mean of a gamma weight (topic, shape, rate) over the sum of
+    these means, and its deviation over its mean; nga: the share of ``docs``
+    documents in which it is not active (topic, docs).
+    """
+    out = rows.join(top1.select("topic", F.col("docs").alias("t1")), "topic", "left").withColumn("t1", F.coalesce("t1", F.lit(0).cast("long")))
+    out = out.join(coherence.select("topic", F.col("coherence").alias("co")), "topic", "left").join(pmi.select("topic", F.col("coherence").alias("pmi")), "topic", "left")
+    if burst is not None:
+        out = out.join(burst.select("topic", F.col("b").alias("bd")), "topic", "left")
+    if gamma is not None:
+        mean = F.col("shape") / F.col("rate")
+        total = F.broadcast(gamma.agg(F.sum(mean).alias("all")))
+        out = out.join(gamma.crossJoin(total).select("topic", (mean / F.col("all")).alias("ng"), (1 / F.sqrt("shape")).alias("ngv")), "topic", "left")
+    if active is not None:
+        out = out.join(active.select("topic", (1 - F.col("docs") / docs).alias("nga")), "topic", "left").withColumn("nga", F.coalesce("nga", F.lit(1.0)))
+    return out
+
+
 def coherence(top: DataFrame, cooc: DataFrame) -> DataFrame:
     """topic, coherence: the mean over pairs of top words of ln((D(i, j) + 1) / D(i, i)), i of the lower rank.
 

@@ -353,18 +353,24 @@ def top_words_rat(w):
     return reports.top_words(reports.scored(w.word_topic, "rat", TOPICS, phi_of(w), root), TOP)
 
 
-@query(f""", g AS (SELECT word_id, word, (cnt + 0.1::double) / sum(cnt + 0.1::double) OVER () AS g FROM voc ),
+DIAGNOSTICS = f""", g AS (SELECT word_id, word, (cnt + 0.1::double) / sum(cnt + 0.1::double) OVER () AS g FROM voc ),
 a AS (SELECT topic, exp(-sum(p * ln(p))) AS ew, 1 / sum(p * p) AS ewp, 1 - sum(sqrt(p / {W_SQL})) AS ud, 1 - sum(sqrt(p * g)) AS pd, sum(p * length(word)) AS sl FROM phi JOIN g USING (word_id) GROUP BY topic),
 b AS (SELECT topic, exp(-sum(q * ln(q))) AS ed, count(*) FILTER (prop > 1 / sqrt({TOPICS}::double)) AS da FROM (SELECT *, prop / sum(prop) OVER (PARTITION BY topic) AS q FROM props) GROUP BY topic),
 c AS (SELECT topic, 1 - count(*)::double / {W_SQL} AS ws FROM wt GROUP BY topic),
-e AS (SELECT topic, 1 - count(*)::double / any_value(d) AS ds FROM dt, dn GROUP BY topic)
-SELECT topic, round(n_k / sum(n_k) OVER (), 6) AS p, round(ws, 6) AS ws, round(ds, 6) AS ds, round(ew, 6) AS ew, round(ewp, 6) AS ewp, round(ud, 6) AS ud, round(pd, 6) AS pd, round(sl, 6) AS sl, round(ed, 6) AS ed, da
-FROM tn JOIN a USING (topic) JOIN b USING (topic) JOIN c USING (topic) JOIN e USING (topic)""")
-def topic_diagnostics(w):
+e AS (SELECT topic, 1 - count(*)::double / any_value(d) AS ds FROM dt, dn GROUP BY topic)"""
+DIAGNOSED = "SELECT topic, round(n_k / sum(n_k) OVER (), 6) AS p, round(ws, 6) AS ws, round(ds, 6) AS ds, round(ew, 6) AS ew, round(ewp, 6) AS ewp, round(ud, 6) AS ud, round(pd, 6) AS pd, round(sl, 6) AS sl, round(ed, 6) AS ed, da FROM tn JOIN a USING (topic) JOIN b USING (topic) JOIN c USING (topic) JOIN e USING (topic)"
+
+
+def diagnosed(w: Workspace) -> DataFrame:
     d = reports.diagnostics(w.word_topic, w.doc_topic, phi_of(w), w.vocab, w.word_count, w.doc_count, TOPICS)
     return rounded(d, "p", "ws", "ds", "ew", "ewp", "ud", "pd", "sl", "ed")
 
 
+@query(f"{DIAGNOSTICS} {DIAGNOSED}")
+def topic_diagnostics(w):
+    return diagnosed(w)
+
+
 COR = """SELECT a.topic AS t1, b.topic AS t2, round((sum(a.prop * b.prop) / any_value(d)) / (any_value(m1.m) * any_value(m2.m)), 6) AS cor
 FROM props a JOIN props b USING (doc_id) JOIN mean m1 ON m1.topic = a.topic JOIN mean m2 ON m2.topic = b.topic, dn WHERE b.topic < a.topic GROUP BY a.topic, b.topic"""
 MEAN = ", mean AS (SELECT topic, sum(prop) / any_value(d) AS m FROM props, dn GROUP BY topic)"
@@ -534,6 +540,25 @@ def pair_mean_coherence(w):
     return rounded(reports.pair_mean_coherence(top_of(w, "count"), top_pmi(w)), "coherence")
 
 
+@query(f"""{DIAGNOSTICS}{CO}{COH}{TOP_PMI},
+tops AS (SELECT topic, count(*) AS t1 FROM (SELECT doc_id, topic FROM dt QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, topic) = 1) GROUP BY topic),
+act AS (SELECT topic, round(1 - count(*)::double / any_value(d), 6) AS nga FROM dt, dn GROUP BY topic),
+gam AS (SELECT topic, (n_k + 1.0::double) AS shape, (topic + 2.0::double) AS rate FROM tn)
+SELECT dg.*, coalesce(t1, 0) AS t1, (SELECT round(avg(c), 6) FROM coh WHERE coh.topic = dg.topic) AS co, round(pc.c, 6) AS pmi,
+  round(100.0::double / (1 + topic), 6) AS bd, round(shape / rate / (SELECT sum(shape / rate) FROM gam), 6) AS ng, round(1 / sqrt(shape), 6) AS ngv, nga
+FROM ({DIAGNOSED}) dg LEFT JOIN tops USING (topic) LEFT JOIN act USING (topic) LEFT JOIN gam USING (topic)
+LEFT JOIN (SELECT topic, coalesce(sum(pmi), 0) / 100 AS c FROM (SELECT a.topic, a.word_id AS w1, b.word_id AS w2 FROM topn a JOIN topn b ON a.topic = b.topic AND a.word_id < b.word_id) LEFT JOIN tp USING (w1, w2) GROUP BY topic) pc USING (topic)""")
+def topic_diagnostics_full(w):
+    """With a burst concentration and gamma weights made of the topics' counts."""
+    size = counts.totals(w.word_topic, "topic")
+    gamma = size.select("topic", (F.col("n") + 1.0).alias("shape"), (F.col("topic") + 2.0).alias("rate"))
+    burst = size.select("topic", (100.0 / (1 + F.col("topic"))).alias("b"))
+    active = w.doc_topic.groupBy("topic").agg(F.count("*").alias("docs"))
+    co, mutual = reports.coherence(top_of(w), cooc_of(w)), reports.pmi_coherence(top_of(w, "count"), top_pmi(w), TOP)
+    d = reports.further_diagnostics(diagnosed(w), counts.top_docs(w.doc_topic), co, mutual, burst, gamma, active, w.doc_count)
+    return rounded(d, "co", "pmi", "bd", "ng", "ngv", "nga")
+
+
 @query("""SELECT b.word_id - 50 AS w1, c.word_id - 50 AS w2, round(pmi, 6) AS v FROM pm JOIN voc b ON b.word_id = w1 JOIN voc c ON c.word_id = w2 WHERE b.word_id >= 50 AND c.word_id >= 50 AND pmi <> 0""")
 def project_matrix(w):
     target = w.vocab.filter("word_id >= 50").select((F.col("word_id") - 50).alias("word_id"), "word")
