@@ -36,6 +36,13 @@ def clamp_tables(table: DataFrame) -> DataFrame:
     return table.withColumn("t", F.when(F.col("n") > 0, F.least("n", F.greatest("t", F.lit(1)))).otherwise(0).cast("long"))
 
 
+def corrected_active(active: DataFrame, dt: DataFrame) -> DataFrame:
+    """doc_id, topic: the active topics of documents that have tokens, and with them every topic that has a count there."""
+    used = dt.filter("n > 0").select("doc_id", "topic")
+    kept = active.select("doc_id", "topic").join(used.select("doc_id").distinct(), "doc_id", "left_semi")
+    return kept.unionByName(used).distinct()
+
+
 def topic_share(tt: DataFrame) -> DataFrame:
     """topic, n, share; ``tt`` has topic and n."""
     total = tt.agg(F.sum("n").alias("total"))

@@ -248,6 +248,13 @@ def table_counts_clamped(w):
     return counts.clamp_tables(w.doc_topic.withColumn("t", F.floor(F.col("n") / 2) - 3))
 
 
+@query(f"""SELECT topic, count(*) AS docs FROM (SELECT doc_id, topic FROM dl CROSS JOIN topics WHERE (doc_id + topic) % 3 = 0 UNION SELECT doc_id, topic FROM dt) GROUP BY topic""")
+def active_corrected(w):
+    """Active topics by rule, every third one, put right by the counts; documents of each."""
+    every = w.read("documents").select("doc_id").withColumn("topic", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TOPICS - 1).cast("long"))))
+    return counts.corrected_active(every.filter((F.col("doc_id") + F.col("topic")) % 3 == 0), w.doc_topic).groupBy("topic").agg(F.count("*").alias("docs"))
+
+
 @query(f"SELECT topic, round((coalesce(n_k, 0) + {ALPHA}::double) / (sum(coalesce(n_k, 0)) OVER () + {TOPICS} * {ALPHA}::double), 9) AS prob FROM topics LEFT JOIN tn USING (topic)")
 def topic_probs_dirichlet(w):
     tt = w.topics.join(counts.totals(w.word_topic, "topic"), "topic", "left").withColumn("n", F.coalesce("n", F.lit(0)))
