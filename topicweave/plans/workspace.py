@@ -50,8 +50,8 @@ class Workspace:
 
     @property
     def words(self) -> DataFrame:
-        """doc_id, pos, word"""
-        return self.keep("words", lambda: tokens_of_text(self.read("documents"), "doc_id", "text"))
+        """doc_id, pos, word, split from the texts whenever they are read"""
+        return tokens_of_text(self.read("documents"), "doc_id", "text")
 
     @property
     def vocab(self) -> DataFrame:
@@ -60,8 +60,8 @@ class Workspace:
 
     @property
     def tokens(self) -> DataFrame:
-        """doc_id, pos, word_id"""
-        return self.keep("tokens", lambda: encode(self.words, self.vocab))
+        """doc_id, pos, word_id: columns of ``z``, so that tokens are written once"""
+        return self.z.select("doc_id", "pos", "word_id")
 
     @property
     def doc_count(self) -> int:
@@ -76,7 +76,8 @@ class Workspace:
     @property
     def z(self) -> DataFrame:
         """doc_id, pos, word_id, topic of all tokens, topics drawn by hash."""
-        return self.keep("z", lambda: self.tokens.withColumn("topic", hashed(F.col("doc_id").cast("string"), F.col("pos").cast("string"), str(SEED)) % TOPICS))
+        topic = hashed(F.col("doc_id").cast("string"), F.col("pos").cast("string"), str(SEED)) % TOPICS
+        return self.keep("z", lambda: encode(self.words, self.vocab, self.word_count).withColumn("topic", topic))
 
     @property
     def word_topic(self) -> DataFrame:

@@ -9,6 +9,10 @@ from ..plans.durable import Scratch
 from ..plans.ranking import global_rank
 
 
+#: Words of a vocabulary that may be broadcast.
+BROADCAST_WORDS = 1_000_000
+
+
 def tokens_of_text(docs: DataFrame, doc: str, text: str, pattern: str = "[a-z]+") -> DataFrame:
     """doc_id, pos, word of lower-cased text."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))
@@ -22,8 +26,10 @@ def vocabulary(words: DataFrame, scratch: Scratch) -> DataFrame:
     return ranked.select("word_id", "word", "cnt", "df")
 
 
-def encode(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    return words.join(vocab.select("word", "word_id"), "word").select("doc_id", "pos", "word_id")
+def encode(words: DataFrame, vocab: DataFrame, size: int | None = None) -> DataFrame:
+    """doc_id, pos, word_id; a vocabulary of known and bounded ``size`` is broadcast, so that tokens stay where they are."""
+    ids = vocab.select("word", "word_id")
+    return words.join(F.broadcast(ids) if size is not None and size <= BROADCAST_WORDS else ids, "word").select("doc_id", "pos", "word_id")
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:
