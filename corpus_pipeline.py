@@ -53,7 +53,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of ``sf_dir``."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop(*before)  # what a stage read is not read again
+        before = [docs]
+        near_dedup.forget(spark)
     return docs

@@ -231,3 +231,40 @@ def test_shingles_of_a_batch():
     assert d[0] == d[2] and len({d[0], d[1], d[3], d[4], d[5]}) == 5
     m = shingles.minima(values, bounds, 8)
     assert (m[0] == m[2]).all() and (m[1] == 0xFFFFFFFF).all()
+
+
+def test_pairs_are_confirmed_in_slices_of_bounded_size(docs, monkeypatch):
+    """All sets that pairs name were written and met at once before; slices find the same links."""
+    rows = [(k, " ".join(f"w{k // 2}x{i}" for i in range(20 + k % 2))) for k in range(80)]
+    want = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs(rows)).collect())
+    written, once = [], near_dedup.sets_of
+
+    def counted(pairs, docs, scratch):
+        out = once(pairs, docs, scratch)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "sets_of", counted)
+    monkeypatch.setattr(near_dedup, "SLICE_BYTES", 1)
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs(rows)).collect())
+    assert got == want == [(k, k // 2 * 2) for k in range(80)]
+    assert sum(written) >= 80 and max(written) <= 40
+
+
+def test_pipeline_keeps_no_table_that_is_not_read_again(spark, tmp_path, docs, monkeypatch):
+    import os
+
+    import corpus_pipeline
+
+    docs([(k, f"some words of text {k} that are its own", "en", "s") for k in range(20)]).write.parquet(f"{tmp_path}/documents.parquet")
+    kept, keep = [], corpus_pipeline.Scratch.keep
+
+    def noted(self, *args):
+        out = keep(self, *args)
+        if "/pipeline-" in out._scratch_path:
+            kept.append(out._scratch_path.removeprefix("file:"))
+        return out
+
+    monkeypatch.setattr(corpus_pipeline.Scratch, "keep", noted)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 20
+    assert len(kept) == 5 and [os.path.exists(p) for p in kept[:3]] == [False] * 3 and os.path.exists(kept[-1])

@@ -11,12 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import Scratch
+
 #: Components of a vector; letters of an n-gram; characters for which a worker counts at a time.
 DIMENSIONS = 1024
 ORDER = 3
 BATCH_CHARS = 500_000
 #: N-grams whose vectors a worker holds at a time.
-BLOCK = 4096
+BLOCK = 1024
+#: Ids that may be broadcast, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -178,5 +182,7 @@ def known_language(docs: DataFrame) -> DataFrame:
     """
     found = predict(docs, train(docs.filter(~held_out_rows())))
     without = found.groupBy("doc_id").agg(F.max(F.col("lang_pred") != "und").alias("_known")).filter("not _known").select(F.col("doc_id").alias("_id"))
+    without = Scratch(docs.sparkSession, "language-id").keep(without)
+    without = F.broadcast(without) if without.count() <= BROADCAST_IDS else without
     rows = docs.select(F.col("doc_id").alias("_d"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"))
     return rows.join(without, F.col("_d").eqNullSafe(F.col("_id")), "left_anti").select("_row.*")
