@@ -148,3 +148,24 @@ def test_probs_round_trip(spark, tmp_path):
     writers.write_probs(theta, str(tmp_path / "th"), 0.1, True)
     got = {(r.doc_id, r.topic): round(r.p, 6) for r in readers.read_probs(spark, str(tmp_path / "th")).collect()}
     assert got == {(0, 0): round(0.75 / 0.95, 6), (0, 1): round(0.2 / 0.95, 6), (1, 2): 1.0}
+
+
+def test_rare_words_alone_are_shuffled_in_a_large_vocabulary(spark, monkeypatch):
+    """Beyond the bound all tokens were shuffled with their words; now only those of words past it."""
+    from topicweave.plans.durable import Scratch
+    from topicweave.sources import corpus
+
+    docs = spark.createDataFrame([(0, "a a B c"), (1, "a b d, e"), (2, None), (3, ""), (None, "a f")], "doc_id long, text string")
+    words = corpus.tokens_of_text(docs, "doc_id", "text")
+    scratch = Scratch(spark, "t")
+    vocab = corpus.vocabulary(corpus.word_counts(docs, "doc_id", "text"), scratch)
+    want = sorted(map(tuple, corpus.vocabulary(words, scratch).collect()))
+    assert sorted(map(tuple, vocab.collect())) == want
+    twice = docs.unionByName(docs.limit(1))
+    assert sorted(map(tuple, corpus.word_counts(twice, "doc_id", "text").collect())) == sorted(map(tuple, corpus.counted(corpus.tokens_of_text(twice, "doc_id", "text")).collect()))
+    whole = sorted(map(tuple, corpus.encode(words, vocab, 6).select("pos", "word_id").collect()))
+    monkeypatch.setattr(corpus, "BROADCAST_WORDS", 2)
+    kept, keep = [], scratch.keep
+    scratch.keep = lambda df: kept.append(out := keep(df)) or out
+    assert sorted(map(tuple, corpus.coded(words, vocab, 6, scratch).select("pos", "word_id").collect())) == whole
+    assert kept[1].count() == 4
