@@ -99,3 +99,17 @@ def test_likelihood_of_table_counts(spark):
     assert likelihood.pitman_yor(table, "doc_id", 0.5, 2.0).first()[0] == pytest.approx(want)
     flat = likelihood.pitman_yor(table.withColumn("t", F.lit(1).cast("long")), "doc_id", 0.5, 2.0).first()[0]
     assert flat == pytest.approx(likelihood.pitman_yor(table.drop("t"), "doc_id", 0.5, 2.0).first()[0])
+
+
+def test_next_words_of_one_topic_meet_once(spark):
+    """What a join of all tokens finds, also where places are repeated or missing; tokens are shuffled once and not for several joins."""
+    import random
+
+    from topicweave.operators import counts
+
+    r = random.Random(4)
+    rows = [(d, i, r.randrange(6), r.randrange(2)) for d in range(8) for i in range(30) if r.random() < 0.9] + [(3, 5, 1, 0), (3, 6, 2, 0), (3, 6, 2, 0)]
+    z = spark.createDataFrame(rows, "doc_id long, pos int, word_id long, topic long")
+    want = sorted((a[0], a[2] * 4294967296 + b[2], a[3]) for a in rows for b in rows if a[0] == b[0] and b[1] == a[1] + 1 and a[3] == b[3])
+    assert sorted(map(tuple, counts.next_word_spans(z).collect())) == want
+    assert counts.next_word_spans(z)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
