@@ -268,3 +268,17 @@ def test_pipeline_keeps_no_table_that_is_not_read_again(spark, tmp_path, docs, m
     monkeypatch.setattr(corpus_pipeline.Scratch, "keep", noted)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 20
     assert len(kept) == 5 and [os.path.exists(p) for p in kept[:3]] == [False] * 3 and os.path.exists(kept[-1])
+
+
+def test_later_rounds_follow_links_between_components_only(spark):
+    """A round's links are those of components known before; what is inside one of them is not walked again."""
+    from topicweave.plans.durable import Scratch
+
+    scratch = Scratch(spark, "rounds")
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    first, second = [(k, k + 1) for k in range(40)] + [(50, 51)], [(k, k + 2) for k in range(39)] + [(60, 61), (7, 51), (55, 60)]
+    known = near_dedup.components(frame(first), scratch)
+    assert sorted(map(tuple, near_dedup.relabelled(frame(second), known).collect())) == [(0, 50), (55, 60), (60, 61)]
+    got = {r.node: r.label for r in near_dedup.components(frame(second), scratch, known).collect()}
+    assert got == {r.node: r.label for r in near_dedup.components(frame(first + second), scratch).collect()}
+    assert got == dict.fromkeys([*range(41), 50, 51], 0) | dict.fromkeys([55, 60, 61], 55)
