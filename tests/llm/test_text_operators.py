@@ -415,3 +415,30 @@ def test_lm_chunks_of_any_frame(spark, docs, tmp_path):
     for other in (table.join(table.select("doc_id").distinct(), "doc_id"), table.repartition(3), table.dropDuplicates(["doc_id"]), table.filter("doc_id < 30").unionByName(table.filter("doc_id >= 30"))):
         assert not lm_scoring.read_only(other)
         assert {r.doc_id: r.score for r in lm_scoring.score(other).collect()} == pytest.approx(want)
+
+
+def test_lm_weights_are_learned_from_every_training_text(spark, monkeypatch):
+    """Each text enters the starts however many there are; groups' results are whole numbers, so that their sums have no order."""
+    from topicweave.llm import word_contexts
+
+    monkeypatch.setattr(word_contexts, "STREAM_DOCUMENTS", 2)
+    monkeypatch.setattr(word_contexts, "STREAMS", 2)
+    rng = np.random.default_rng(3)
+    marks = [rng.integers(0, 16 * 8 * 3, 40).astype(np.uint16) for _ in range(30)]
+    frame = spark.createDataFrame([(k, bytearray(m.tobytes())) for k, m in enumerate(marks)], "doc_id long, features binary")
+    starts = word_contexts.learn_starts(frame.repartition(3), 30)
+    again = word_contexts.learn_starts(frame.coalesce(1), 30)
+    for k, s in enumerate(starts):
+        bits = sum(len(list(word_contexts.decisions(m, np.array([0, len(m)])))[k][0]) for m in marks)
+        assert s.hits[:, 1].sum() == bits
+        assert (s.hits == again[k].hits).all() and all((x == y).all() for x, y in zip(s.weights, again[k].weights, strict=True))
+        assert not np.allclose(s.weights[0], 0.1)
+
+
+def test_lm_mixer_is_learned_from_every_word(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "GROUP_WORDS", 10)
+    words = sorted({f"w{k * 7919 % 1000}x{k}".encode() for k in range(60)})
+    frame = spark.createDataFrame([(k * 7919, bytearray(w), 1) for k, w in enumerate(words)], "hash long, word binary, c long")
+    model = lm_scoring.learn(frame.repartition(3), len(words))
+    assert model.mixer.hits[..., 1].sum() == 8 * sum(len(w) + 1 for w in words)
+    assert (lm_scoring.learn(frame.coalesce(1), len(words)).mixer.flat() == model.mixer.flat()).all()
