@@ -282,3 +282,11 @@ def test_later_rounds_follow_links_between_components_only(spark):
     got = {r.node: r.label for r in near_dedup.components(frame(second), scratch, known).collect()}
     assert got == {r.node: r.label for r in near_dedup.components(frame(first + second), scratch).collect()}
     assert got == dict.fromkeys([*range(41), 50, 51], 0) | dict.fromkeys([55, 60, 61], 55)
+
+
+def test_small_tables_have_few_files(spark):
+    """Pairs, links and labels are written in as many files as their texts ask for, not as a shuffle has partitions."""
+    rows = spark.range(1000).repartition(50)
+    assert near_dedup.small(rows, 1000).rdd.getNumPartitions() == 1
+    assert near_dedup.small(rows, 3 * near_dedup.FILE_TEXTS).rdd.getNumPartitions() == 3
+    assert near_dedup.small(rows, 0).count() == 1000
