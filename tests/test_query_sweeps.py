@@ -63,3 +63,30 @@ def test_groups_of_documents_are_bounded():
     groups = list(query_sweeps.alike(lens, 10, 20))
     assert sorted(np.concatenate(groups).tolist()) == [0, 1, 2, 3, 4]
     assert [2] in [g.tolist() for g in groups]
+
+
+def test_draws_are_those_of_one_document_after_another():
+    """Documents that advance together, in order of length, draw what each draws by itself; beyond the bound words are joined."""
+    rng = np.random.default_rng(4)
+    side, lens = rng.random((30, 5)), np.array([3, 0, 17, 17, 1, 40])
+    docs, word = np.arange(6) * 7, rng.integers(0, 30, lens.sum())
+    got = query_sweeps.sampled_counts(docs, lens, word, side, ALPHA, 3, 2, 9)
+    for i, d in enumerate(docs):
+        own, g, n, z = word[lens[:i].sum() :][: lens[i]], query_sweeps.generator(9, int(d)), np.zeros(5), [-1] * lens[i]
+        for r in range(5):
+            for k, u in enumerate(g.random(lens[i])):
+                if z[k] >= 0:
+                    n[z[k]] -= 1
+                p = np.cumsum((n + ALPHA) * side[own[k]])
+                z[k] = min(int((p < u * p[-1]).sum()), 4)
+                n[z[k]] += 1
+            if r >= 2:
+                assert got[r - 2, :, i].tolist() == n.tolist()
+
+
+def test_rare_words_are_joined(tables, monkeypatch):
+    queries, tokens, phi = tables
+    every = lambda: sorted(map(tuple, query_sweeps.query_sweeps(queries, tokens, phi, ALPHA, 10).collect()))
+    want = every()
+    monkeypatch.setattr(query_sweeps, "BROADCAST_BYTES", 16)  # one word
+    assert every() == want and len(want) == 8

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import doc_bags
 from .counts import doc_props
-from .inference import BLOCK, BROADCAST_BYTES, dense, lowest, packed, prune, word_blocks
+from .inference import BLOCK, BROADCAST_BYTES, dense, lowest, packed, prune, topic_count, word_blocks
+
+#: Tokens of documents that are swept together, and perhaps a quarter more.
+TOGETHER = 8_000_000
+#: Documents up to which a step is done in plain numbers.
+FEW = 16
 
 
 def generator(seed: int, doc: int) -> np.random.Generator:
@@ -18,39 +25,81 @@ def generator(seed: int, doc: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=[seed, doc & (2**64 - 1)]))
 
 
-def sampled_costs(docs: np.ndarray, lens: np.ndarray, rows: np.ndarray, asked: np.ndarray, alpha: float, sweeps: int, burn: int, seed: int) -> np.ndarray:
-    """Documents x words: the mean over ``sweeps`` of -ln sum_t theta phi of the rows ``asked``, after ``burn`` more.
+def sampled_counts(docs: np.ndarray, lens: np.ndarray, word: np.ndarray, side: np.ndarray, alpha: float, sweeps: int, burn: int, seed: int) -> np.ndarray:
+    """Sweeps x topics x documents: the topics' counts after each of ``sweeps`` sweeps that follow ``burn`` others.
 
-    ``rows`` has phi of each document's tokens (documents x places x topics),
-    ``lens`` their number. Documents do not depend on each other, so they
-    advance together, one token of each at a time.
+    ``word`` has the rows of ``side`` (words x topics) of the documents' tokens,
+    one document after another, ``lens`` their number. Documents do not depend
+    on each other, so they advance together, one token of each at a time: they
+    go by length, and what stands at one place of all documents lies together.
     """
-    count, places, topics = rows.shape
+    count, topics, places = len(docs), side.shape[1], int(lens.max(initial=0))
+    rank = np.argsort(-lens, kind="stable")
+    at = np.empty(count, np.int64)
+    at[rank] = np.arange(count)
+    live = count - np.searchsorted(np.sort(lens), np.arange(places), "right")  # documents longer than a place
+    start = np.concatenate([[0], np.cumsum(live)])
+    ends = np.cumsum(lens)
+    to = (start[np.arange(len(word)) - np.repeat(ends - lens, lens)] + np.repeat(at, lens)).astype(np.int32)
+    placed = np.empty(len(word), np.int32)
+    placed[to] = word
     rng = [generator(seed, int(d)) for d in docs]
-    every = np.arange(count)
-    n = np.zeros((count, topics))
-    z = np.full((count, places), -1)
-    out = np.zeros((count, len(asked)))
-
-    def sweep() -> None:
-        u = np.zeros((count, places))
-        for i, g in enumerate(rng):
-            u[i, : lens[i]] = g.random(lens[i])
-        for at in range(places):
-            live = every[lens > at]
-            old = z[live, at]
-            some = old >= 0
-            n[live[some], old[some]] -= 1
-            p = np.cumsum((n[live] + alpha) * rows[live, at], axis=1)
-            new = np.minimum((p < u[live, at, None] * p[:, -1:]).sum(axis=1), topics - 1)
-            z[live, at] = new
-            n[live, new] += 1
-
+    every, alone = np.arange(count), int(np.searchsorted(-live, -FEW))  # from this place on few documents are left
+    few = [(i, np.flatnonzero(live[alone:] > i) + alone) for i in range(int(live[alone]) if alone < places else 0)]
+    tails = [(i, start[k] + i, side[placed[start[k] + i]].tolist()) for i, k in few]
+    n = np.zeros((topics, count))
+    flat = n.reshape(-1)
+    z = np.full(len(word), -1, np.int32)  # places in ``flat``
+    drawn, u = np.empty(len(word)), np.empty(len(word))
+    p, rows = np.empty((topics, count)), np.empty((count, topics))
+    out = np.zeros((sweeps, topics, count))
     for r in range(burn + sweeps):
-        sweep()
+        for g, a, e in zip(rng, ends - lens, ends, strict=True):
+            g.random(out=drawn[a:e])
+        u[to] = drawn
+        for k in range(alone):
+            m, here = live[k], slice(start[k], start[k + 1])
+            if r:
+                flat[z[here]] -= 1
+            np.take(side, placed[here], axis=0, out=rows[:m], mode="clip")
+            c = np.add(n[:, :m], alpha, out=p[:, :m])
+            c *= rows[:m].T
+            for t in range(1, topics):
+                c[t] += c[t - 1]
+            new = np.add.reduce(c[:-1] < u[here] * c[-1], axis=0, dtype=np.int16).astype(np.int64) * count + every[:m]
+            z[here] = new
+            flat[new] += 1
+        for i, at, phi in tails:
+            own = n[:, i].tolist()
+            z[at] = singly(own, ((z[at] - i) // count).tolist() if r else [-1] * len(at), phi, u[at].tolist(), alpha) * count + i
+            n[:, i] = own
         if r >= burn:
-            theta = (n + alpha) / (lens[:, None] + topics * alpha)
-            out -= np.log(theta @ asked.T)
+            out[r - burn][:, rank] = n
+    return out
+
+
+def singly(n: list[float], old: list[int], phi: list[list[float]], u: list[float], alpha: float) -> np.ndarray:
+    """The topics drawn for tokens of one document in turn, in plain numbers; ``n`` is changed."""
+    drawn, last = [], len(n) - 1
+    for z, row, x in zip(old, phi, u, strict=True):
+        if z >= 0:
+            n[z] -= 1
+        total, sums = 0.0, []
+        for a, b in zip(n, row, strict=True):
+            total += (a + alpha) * b
+            sums.append(total)
+        z = min(bisect_left(sums, x * total), last)
+        n[z] += 1
+        drawn.append(z)
+    return np.array(drawn, np.int64)
+
+
+def mean_costs(counts: np.ndarray, lens: np.ndarray, asked: np.ndarray, alpha: float) -> np.ndarray:
+    """Documents x words: the mean over the sweeps of ``counts`` of -ln sum_t theta phi of the rows ``asked``."""
+    sweeps, topics, count = counts.shape
+    out = np.zeros((count, len(asked)))
+    for n in counts:
+        out -= np.log((n.T + alpha) / (lens[:, None] + topics * alpha) @ asked.T)
     return out / sweeps
 
 
@@ -64,13 +113,10 @@ def query_sweeps(queries: DataFrame, tokens: DataFrame, phi: DataFrame, alpha: f
     a block; ``inference.best_documents`` merges them.
     """
     spark = phi.sparkSession
-    topics = int(phi.agg(F.max("topic")).first()[0] or 0) + 1
-    side = packed(phi, "word_id", topics, "ph")
-    if phi.select("word_id").distinct().count() * topics * 8 <= BROADCAST_BYTES:
-        side = F.broadcast(side)
-    bag = tokens.filter("doc_id is not null").groupBy("doc_id", "word_id").agg(F.count("*").cast("int").alias("cnt")).join(side, "word_id")
-    docs = bag.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word_id", "cnt", "ph"))).alias("r"))  # words of one document
-    docs = docs.select("doc_id", F.col("r.cnt").alias("cnt"), F.flatten("r.ph").alias("ph"))
+    topics = topic_count(phi)
+    tokens = tokens.filter("doc_id is not null")
+    docs, known = doc_bags.with_words(doc_bags.bags(tokens), tokens, packed(phi, "word_id", topics, "ph"), topics, BROADCAST_BYTES)
+    side = spark.sparkContext.broadcast(known)
     wanted = queries.filter("qid is not null").select("qid", "word_id").distinct()
     blocks, found = word_blocks(wanted.count(), topics), None
     for b in range(blocks):
@@ -84,31 +130,56 @@ def query_sweeps(queries: DataFrame, tokens: DataFrame, phi: DataFrame, alpha: f
         names, start = np.unique(qid[order], return_index=True)
         shared = spark.sparkContext.broadcast((names, start, np.searchsorted(words, word[order]), rows))
 
-        def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, start, at, rows = shared.value
             if not len(names):
                 return
             ids, best = [np.zeros(0, np.int64)] * len(names), [np.zeros(0)] * len(names)
-            for part in parts:
-                lens = part["cnt"].map(np.sum).to_numpy()
-                for some in alike(lens, topics, len(at)):
-                    full = np.zeros((len(some), int(lens[some].max()), topics))
-                    for i, row in enumerate(some):
-                        full[i, : lens[row]] = np.repeat(part["ph"].iat[row].reshape(-1, topics), part["cnt"].iat[row], axis=0)
-                    doc = part["doc_id"].to_numpy()[some]
-                    cost = sampled_costs(doc, lens[some], full, rows, alpha, sweeps, burn, seed)
+            step = max(1, BLOCK // (len(at) + len(rows)))
+            for doc, lens, word, table in together(batches, side.value):
+                counts = sampled_counts(doc, lens, word, table, alpha, sweeps, burn, seed)
+                for k in range(0, len(doc), step):
+                    cost = mean_costs(counts[:, :, k : k + step], lens[k : k + step], rows, alpha)
                     score = np.add.reduceat(cost[:, at], start, axis=1).round(digits)
                     for q in range(len(names)):
-                        both, who = np.concatenate([best[q], score[:, q]]), np.concatenate([ids[q], doc])
+                        both, who = np.concatenate([best[q], score[:, q]]), np.concatenate([ids[q], doc[k : k + step]])
                         top = lowest(both, who, n)
                         best[q], ids[q] = both[top], who[top]
-            yield pd.DataFrame({"qid": np.repeat(names, [len(x) for x in ids]), "doc_id": np.concatenate(ids), "score": np.concatenate(best)})
+            kept = [np.repeat(names, [len(x) for x in ids]), np.concatenate(ids), np.concatenate(best)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=["qid", "doc_id", "score"])
 
-        part = docs.mapInPandas(run, "qid long, doc_id long, score double")
+        part = docs.mapInArrow(run, "qid long, doc_id long, score double")
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def joined(rows: np.ndarray, more: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([rows, *more]) if any(map(len, more)) else rows
+
+
+def together(batches: Iterator[pa.RecordBatch], side: doc_bags.Side) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """doc, lens, word, table: documents that are swept together, with the rows in ``table`` of their tokens' words; those without a known word are left out."""
+    docs, lens, words, tables = [], [], [], []
+    size = 0
+    for batch in batches:
+        for part in doc_bags.sliced(batch, TOGETHER // 4):
+            row, key, cnt = doc_bags.items(part)
+            known, at, more = side.places(key, part)
+            tables.append(more)
+            # rows that the batch brings stand after those of all batches before
+            at = np.where(at < len(side.rows), at, at + sum(len(x) for x in tables[:-1]))
+            words.append(np.repeat(at.astype(np.int32), cnt[known]))
+            length = np.bincount(row[known], cnt[known], part.num_rows).astype(np.int64)
+            docs.append(np.asarray(part.column("doc_id"))[length > 0])
+            lens.append(length[length > 0])
+            size += len(words[-1])
+            if size >= TOGETHER:
+                yield (*(np.concatenate(x) for x in (docs, lens, words)), joined(side.rows, tables))
+                docs, lens, words, tables, size = [], [], [], [], 0
+    if size:
+        yield (*(np.concatenate(x) for x in (docs, lens, words)), joined(side.rows, tables))
+
+
 def alike(lens: np.ndarray, width: int, more: int) -> Iterator[np.ndarray]:
     """Rows in order of length, in groups of at most BLOCK numbers, ``width`` for a token and ``more`` for a document, but for a longer document."""
     order, i = np.argsort(lens, kind="stable"), 0
@@ -122,7 +193,8 @@ def alike(lens: np.ndarray, width: int, more: int) -> Iterator[np.ndarray]:
 
 def query_topics(posterior: DataFrame, dt: DataFrame, share: float = 1e-4) -> DataFrame:
     """qid, topic, weight: the expected share of a topic in the documents of a query, small ones pruned."""
-    w = posterior.join(doc_props(dt), "doc_id").groupBy("qid", "topic").agg(F.sum(F.col("prob") * F.col("prop")).alias("weight"))
+    found = dt.join(posterior.select("doc_id").distinct(), "doc_id", "left_semi")  # shares are of whole documents
+    w = posterior.join(doc_props(found), "doc_id").groupBy("qid", "topic").agg(F.sum(F.col("prob") * F.col("prop")).alias("weight"))
     return prune(w, ["qid"], "weight", share)
 
 
