@@ -113,3 +113,17 @@ def test_next_words_of_one_topic_meet_once(spark):
     want = sorted((a[0], a[2] * 4294967296 + b[2], a[3]) for a in rows for b in rows if a[0] == b[0] and b[1] == a[1] + 1 and a[3] == b[3])
     assert sorted(map(tuple, counts.next_word_spans(z).collect())) == want
     assert counts.next_word_spans(z)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_words_in_too_few_windows_make_no_pairs_and_keep_their_places(spark):
+    rng = np.random.default_rng(11)
+    rows = [(d, p, int(w)) for d in range(6) for p, w in enumerate(np.minimum(rng.geometric(0.2, 60) - 1, 30))]
+    tokens = spark.createDataFrame(rows, "doc_id long, pos int, word_id long").repartition(3)
+    words, _ = pmi.window_counts(tokens, 5)
+    plain = {tuple(r) for r in pmi.window_pairs(tokens, 5).filter("c >= 12").collect()}
+    n = {r.word_id: r.n for r in words.collect()}
+    last = max(w for w, x in n.items() if x >= 12)
+    assert plain and last < max(n)
+    assert {tuple(r) for r in pmi.frequent_window_pairs(tokens, 5, 12, words).collect()} == plain
+    assert all(r.w2 <= last for r in pmi.window_pairs(tokens, 5, last).collect())
+    assert pmi.frequent_window_pairs(tokens, 5, 10**6, words).count() == 0
