@@ -442,3 +442,27 @@ def test_lm_mixer_is_learned_from_every_word(spark, monkeypatch):
     model = lm_scoring.learn(frame.repartition(3), len(words))
     assert model.mixer.hits[..., 1].sum() == 8 * sum(len(w) + 1 for w in words)
     assert (lm_scoring.learn(frame.coalesce(1), len(words)).mixer.flat() == model.mixer.flat()).all()
+
+
+def test_lm_shares_of_a_word_are_summed():
+    """A word that follows the word before it is likely as any word, too; that way was left out, so words that may come next did not share one."""
+    from topicweave.llm import word_contexts
+
+    rng = np.random.default_rng(2)
+    bounds = np.arange(0, 2001, 50)
+    learned = ((rng.integers(1, 16, 2000) * 8 + rng.integers(0, 8, 2000)) * 3 + rng.choice(3, 2000, p=[0.2, 0.4, 0.4])).astype(np.uint16)
+    seen, ones = np.full(2 * word_contexts.TABLE, 9.0), np.full(2 * word_contexts.TABLE, 4.0)
+    starts = word_contexts.learned(seen, ones, iter([(learned, bounds)]))
+
+    def chance(words, pairs):  # of a text that is held out; 60 texts' ends and 1,000 tokens
+        bounds, train = np.array([0, len(words)]), np.zeros(1, np.int64)
+        marks, left = word_contexts.coded(np.array(words), np.array(pairs), train, bounds, 60, 1000, np.zeros(len(words)))
+        return 10 ** (left.sum() + word_contexts.bits_log10(starts, marks, bounds)[0])
+
+    # the first word (400 times, 20 of them at the start), and all that may come after it: four known words, three of which follow it elsewhere, or one that is spelled
+    after = [(400, 100), (340, 250), (200, 50), (60, 0), (0, 0)]
+    both = [chance([400, w], [20, p]) for w, p in after]
+    assert sum(both) == pytest.approx(chance([400], [20]), rel=0.02)
+    # rare pairs and frequent words: every way counts, to a sixth of an octave of the lesser
+    odds = word_contexts.odds(word_contexts.coded(np.array([400, 300]), np.array([20, 1]), np.zeros(1, np.int64), np.array([0, 2]), 60, 1000, np.zeros(2))[0])
+    assert odds == pytest.approx([0.4 / (20 / 60), 0.3 / (1 / 400)], rel=0.13)
